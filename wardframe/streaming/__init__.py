@@ -1,0 +1 @@
+"""The row-wise chart extractor on a stream."""
