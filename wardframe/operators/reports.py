@@ -4,18 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+VALUE_BUCKETS = 1024
+
+
 def box_statistics(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Quartiles and range per group; equal values are counted once with their frequency
-    before the quartiles are taken, so a large group is compact when it gets there."""
-    counted = values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    share = [F.percentile(value, F.lit(q), F.col("__n")).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    return counted.groupBy(*keys).agg(
-        F.sum("__n").alias("n"), F.min(value).alias("low"), *share, F.max(value).alias("high")
+    """Exact quartiles and range per group, at any group size.
+
+    Equal values are counted together; running counts are taken inside value buckets and
+    shifted by the counts of lower buckets, so no group has to be sorted or held by one
+    task. A quartile is then read off at its (interpolated) position.
+    """
+    v = F.col(value)
+    counted = values.filter(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    ranges = counted.groupBy(*keys).agg(F.min(v).alias("low"), F.max(v).alias("high"), F.sum("__n").alias("n"))
+    span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(F.lit(1.0))
+    placed = counted.join(ranges, list(keys)).withColumn(
+        "__bucket", F.floor((v - F.col("low")) / span * (VALUE_BUCKETS - 1))
+    )
+    below = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = placed.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__c")).select(
+        *keys, "__bucket", (F.sum("__c").over(below) - F.col("__c")).alias("__before")
     )
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.withColumn("__sum", F.sum("__n").over(inside)).join(offsets, [*keys, "__bucket"]).withColumn(
+        "__end", F.col("__sum") + F.col("__before")
+    )
+
+    def at(position: Column) -> Column:
+        start = F.col("__end") - F.col("__n")
+        return F.max(F.when((start <= position) & (position < F.col("__end")), v))
+
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    parts = []
+    for name, q in shares.items():
+        place = (F.col("n") - 1) * q
+        parts += [at(F.floor(place)).alias(f"__lo_{name}"), at(F.ceil(place)).alias(f"__hi_{name}")]
+    found = ranked.groupBy(*keys, "n", "low", "high").agg(*parts)
+    quartiles = [
+        (
+            F.col(f"__lo_{name}")
+            + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * ((F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q))
+        ).alias(name)
+        for name, q in shares.items()
+    ]
+    return found.select(*keys, "n", "low", *quartiles, "high")
 
 
 def mean_band(log: DataFrame, keys: Sequence[str], value: Column | str, z: float = 1.96) -> DataFrame:
