@@ -294,17 +294,18 @@ def discharge_biomarkers(notes: DataFrame) -> DataFrame:
 def nutrition_labs(notes: DataFrame) -> DataFrame:
     """Laboratory values quoted as "name value unit date clock"; duplicates are kept."""
     note = F.col("note")
-    found = F.concat(*[
-        F.transform(
+
+    def readings(lab: cat.NutritionLab) -> Column:
+        return F.transform(
             tx.all_matches(note, lab.pattern, needs=lab.literal),
-            lambda m, lab=lab: F.struct(
+            lambda m: F.struct(
                 F.lit(lab.itemid).alias("itemid"),
                 F.lit(lab.unit).alias("fixed_unit"),
                 F.substring(m, len(lab.literal) + 1, 1000000).alias("rest"),
             ),
         )
-        for lab in cat.NUTRITION_LABS
-    ])
+
+    found = F.concat(*[readings(lab) for lab in cat.NUTRITION_LABS])
     rows = _normalised(notes, cat.NUTRITION).select(*EVENT_IDS, F.inline(found))
     rest = F.col("rest")
     value = tx.first_match(rest, r"^ ?([0-9]+(?:\.[0-9]+)?)")
