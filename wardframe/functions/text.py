@@ -26,16 +26,21 @@ def normalise_note(text: Column) -> Column:
     return F.lower(squeeze_blanks(flatten_lines(text)))
 
 
-def first_match(text: Column, pattern: str, group: int = 1, needs: str | None = None) -> Column:
-    """Captured group of the first match; NULL when nothing (or an empty group) matches.
+def first_or_blank(text: Column, pattern: str, group: int = 1, needs: str | None = None) -> Column:
+    """Captured group of the first match, blank (or NULL) without one.
 
     ``needs`` is a literal every match contains: a plain substring test is far cheaper
     than starting the regex engine on texts that cannot match.
     """
-    found = F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    found = F.regexp_extract(text, pattern, group)
     return F.when(F.contains(text, F.lit(needs)), found) if needs else found
 
 
+def first_match(text: Column, pattern: str, group: int = 1, needs: str | None = None) -> Column:
+    """As ``first_or_blank``, but NULL when nothing (or an empty group) matches."""
+    return F.nullif(first_or_blank(text, pattern, group, needs), F.lit(""))
+
+
 def all_matches(text: Column, pattern: str, group: int = 1, needs: str | None = None) -> Column:
     """Captured groups of all matches, an empty array when there are none."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -50,8 +55,9 @@ def match_count(text: Column, pattern: str, needs: str | None = None) -> Column:
 
 
 def first_present(*cols: Column) -> Column:
-    """First column that is neither NULL nor empty, in priority order."""
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
+    """First column that is neither NULL nor empty, in priority order; every column is
+    evaluated exactly once."""
+    return F.try_element_at(F.filter(F.array(*cols), lambda c: F.length(c) > 0), F.lit(1))
 
 
 def join_text(*cols: Column) -> Column:
@@ -69,7 +75,7 @@ def replace_many(text: Column, pairs: dict[str, str]) -> Column:
 
 def to_number(text: Column) -> Column:
     """Text to double, NULL on junk or on an empty string."""
-    return F.nullif(F.trim(text), F.lit("")).try_cast("double")
+    return F.trim(text).try_cast("double")
 
 
 def text_max(*cols: Column) -> Column:

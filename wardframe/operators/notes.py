@@ -59,7 +59,7 @@ def echo_vitals(notes: DataFrame) -> DataFrame:
     text = F.col("text")
 
     def number(finding: cat.Finding) -> Column:
-        return tx.to_number(tx.first_match(text, finding.pattern, needs=finding.needs))
+        return tx.to_number(tx.first_or_blank(text, finding.pattern, needs=finding.needs))
 
     def inside(value: Column, low: float, high: float) -> Column:
         return F.when((value > low) & (value < high), value)
@@ -74,7 +74,7 @@ def echo_vitals(notes: DataFrame) -> DataFrame:
     found = F.array(*[_candidate(f.itemid, f.unit, v) for f, v in values])
     rows = _of_categories(notes, cat.ECHO).filter(F.col("hadm_id").isNotNull()).select(
         *EVENT_IDS,
-        tx.first_match(text, cat.ECHO_TIME, needs="Date/Time: ").alias("clock"),
+        tx.first_or_blank(text, cat.ECHO_TIME, needs="Date/Time: ").alias("clock"),
         F.inline(found),
     )
     return _as_events(
@@ -95,7 +95,7 @@ def infusion_rates(notes: DataFrame) -> DataFrame:
     text = F.col("text")
 
     def candidate(infusion: cat.Infusion) -> Column:
-        line = tx.first_match(text, rf"{infusion.label} - (.*?)\n", needs=f"{infusion.label} - ")
+        line = tx.first_or_blank(text, rf"{infusion.label} - (.*?)\n", needs=f"{infusion.label} - ")
         amount = tx.to_number(F.replace(tx.split_token(line, " ", 1), F.lit(","), F.lit("")))
         fits = F.lower(tx.split_token(line, " ", 2)) == infusion.rate_unit
         here = F.col("category") == infusion.category
@@ -107,7 +107,7 @@ def infusion_rates(notes: DataFrame) -> DataFrame:
 
     rows = _of_categories(notes, cat.GENERAL, cat.CONSULT).select(
         *EVENT_IDS,
-        tx.first_match(text, cat.FLOWSHEET_TIME_RAW, needs="Flowsheet Data as of").alias("clock"),
+        tx.first_or_blank(text, cat.FLOWSHEET_TIME_RAW, needs="Flowsheet Data as of").alias("clock"),
         F.inline(F.array(*[candidate(i) for i in cat.INFUSIONS])),
     )
     return _as_events(
@@ -120,17 +120,17 @@ def infusion_rates(notes: DataFrame) -> DataFrame:
 
 
 def _dose(low: Column, drug: cat.Medication) -> Column:
-    first = tx.first_present(*[tx.first_match(low, p, needs=drug.needs(p)) for p in drug.doses])
+    first = tx.first_present(*[tx.first_or_blank(low, p, needs=drug.needs(p)) for p in drug.doses])
     value = tx.to_number(F.replace(first, F.lit(":"), F.lit("")))
     return F.when(value > 1000, value / 1000).otherwise(value) if drug.rescale else value
 
 
 def _clock(low: Column, drug: cat.Medication) -> Column:
-    digits = [
-        F.replace(tx.first_match(low, p, needs=drug.needs(p)), F.lit(":"), F.lit(""))
+    digits = F.array(*[
+        F.replace(tx.first_or_blank(low, p, needs=drug.needs(p)), F.lit(":"), F.lit(""))
         for p in drug.clocks
-    ]
-    return F.coalesce(*[F.when(F.length(d) == 4, d) for d in digits])
+    ])
+    return F.try_element_at(F.filter(digits, lambda d: F.length(d) == 4), F.lit(1))
 
 
 def medication_doses(notes: DataFrame, drugs: Sequence[cat.Medication] = cat.MEDICATIONS) -> DataFrame:
@@ -235,10 +235,10 @@ def discharge_biomarkers(notes: DataFrame) -> DataFrame:
             lambda m: F.struct(
                 F.lit(kind.itemid).alias("itemid"),
                 F.lit(kind.unit).alias("unit"),
-                tx.first_match(m, kind.value).alias("value"),
-                tx.first_match(m, r"^([\[\]0-9*-]+)").alias("day"),
+                tx.first_or_blank(m, kind.value).alias("value"),
+                tx.first_or_blank(m, r"^([\[\]0-9*-]+)").alias("day"),
                 (
-                    tx.first_match(m, r"^[\[\]0-9*-]+ ?([0-9:]+ ?[ap]?)")
+                    tx.first_or_blank(m, r"^[\[\]0-9*-]+ ?([0-9:]+ ?[ap]?)")
                     if kind.use_clock else F.lit(None).cast("string")
                 ).alias("clock"),
                 F.lit(kind.fallback_hours).alias("late"),
@@ -308,13 +308,13 @@ def nutrition_labs(notes: DataFrame) -> DataFrame:
     found = F.concat(*[readings(lab) for lab in cat.NUTRITION_LABS])
     rows = _normalised(notes, cat.NUTRITION).select(*EVENT_IDS, F.inline(found))
     rest = F.col("rest")
-    value = tx.first_match(rest, r"^ ?([0-9]+(?:\.[0-9]+)?)")
-    unit = tx.first_match(rest, r"^ ?[0-9:]+(?:.[0-9:]+)? ?([a-z:/%]+)")
+    value = tx.first_or_blank(rest, r"^ ?([0-9]+(?:\.[0-9]+)?)")
+    unit = tx.first_or_blank(rest, r"^ ?[0-9:]+(?:.[0-9:]+)? ?([a-z:/%]+)")
     rows = rows.select(
         *EVENT_IDS, "itemid", value.alias("value"),
-        F.coalesce("fixed_unit", unit).alias("unit"),
-        tx.first_match(rest, r"([\[*]*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[*\]]*)").alias("day"),
-        tx.first_match(rest, r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[*\]]* ?([0-9:]+ ?[ap]?)").alias("clock"),
+        F.coalesce("fixed_unit", F.nullif(unit, F.lit(""))).alias("unit"),
+        tx.first_or_blank(rest, r"([\[*]*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[*\]]*)").alias("day"),
+        tx.first_or_blank(rest, r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[*\]]* ?([0-9:]+ ?[ap]?)").alias("clock"),
     )
     return _as_events(
         rows, _dated_time(), F.col("itemid"), F.col("value").try_cast("double"), F.col("unit")
@@ -328,28 +328,30 @@ def troponin_greatest(notes: DataFrame) -> DataFrame:
     """Largest (as text) of several troponin readings of a note.
 
     Physician notes are matched case-sensitively and carry the flowsheet clock; other
-    categories keep the chart date.
+    categories keep the chart date. The readings leave through a generator, so the filter
+    on the value cannot be pushed into a second evaluation of all patterns.
     """
     squeezed = tx.squeeze_blanks(tx.flatten_lines(F.col("text")))
-    low, cased = F.lower(F.col("squeezed")), F.col("squeezed")
+    low, cased = F.col("low"), F.col("squeezed")
     category = F.col("category")
     best = F.when(
         category == cat.PHYSICIAN,
-        tx.text_max(*[tx.first_match(cased, p) for p in cat.TROPONIN_PHYSICIAN_CASED]),
+        tx.text_max(*[tx.first_or_blank(cased, p) for p in cat.TROPONIN_PHYSICIAN_CASED]),
     )
     for name, patterns in cat.TROPONIN_GREATEST.items():
         best = best.when(
-            category == name, tx.text_max(*[tx.first_match(low, p) for p in patterns])
+            category == name, tx.text_max(*[tx.first_or_blank(low, p) for p in patterns])
         )
     clock = F.when(
         category == cat.PHYSICIAN,
-        tx.first_match(cased, cat.FLOWSHEET_TIME_CASED, needs="Flowsheet Data as of"),
+        tx.first_or_blank(cased, cat.FLOWSHEET_TIME_CASED, needs="Flowsheet Data as of"),
     )
     rows = (
         _of_categories(notes, cat.PHYSICIAN, *cat.TROPONIN_GREATEST)
         .select(*EVENT_IDS, "category", squeezed.alias("squeezed"))
         .filter(F.contains(F.lower("squeezed"), F.lit("trop")))
-        .select(*EVENT_IDS, best.alias("value"), clock.alias("clock"))
+        .select(*EVENT_IDS, "category", "squeezed", F.lower("squeezed").alias("low"))
+        .select(*EVENT_IDS, F.inline(F.array(F.struct(best.alias("value"), clock.alias("clock")))))
     )
     return _as_events(
         rows, tm.clock_on_day(F.col("chartdate"), F.col("clock")), F.lit(cat.TROPONIN_ITEM),

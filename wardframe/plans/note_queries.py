@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wardframe.functions import text as tx
 from wardframe.functions import times as tm
 from wardframe.operators import notes as no
-from wardframe.plans.inputs import source, spark_view
+from wardframe.plans.inputs import source, spark_view, sql_view
 from wardframe.plans.registry import listed, query, with_views
 from wardframe.plans.structured import IN_COHORT, STEMI, stemi
 from wardframe.sources import note_catalogue as cat
@@ -396,9 +396,11 @@ def note_troponin_all(spark, sf):
 # --- fact table, survey -------------------------------------------------------------------
 
 
-@query("notes_fact", with_views("diagnoses_icd", "noteevents", cohort=STEMI).replace(
-    "AS text FROM documents)", f"AS text FROM documents WHERE doc_id IN (SELECT subject_id FROM ({with_views('diagnoses_icd') + STEMI})))"
-) + _union([f"SELECT * FROM ({s})" for s in (_ECHO, _INFUSIONS, _MEDICATIONS, _DISCHARGE, _FLOWSHEET, _NUTRITION)], "UNION"))
+_OWN_NOTES = f"SELECT * FROM ({sql_view('noteevents')}) WHERE {IN_COHORT}"
+
+
+@query("notes_fact", with_views("diagnoses_icd", cohort=STEMI, noteevents=_OWN_NOTES) + _union(
+    [f"SELECT * FROM ({s})" for s in (_ECHO, _INFUSIONS, _MEDICATIONS, _DISCHARGE, _FLOWSHEET, _NUTRITION)], "UNION"))
 def notes_fact(spark, sf):
     return no.note_events(_notes(spark, sf), stemi(spark, sf))
 
