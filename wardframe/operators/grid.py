@@ -11,8 +11,12 @@ from wardframe.functions.units import round_half_even
 
 
 def step_of(start: Column, time: Column, hours: float) -> Column:
-    """1-based step of a time after the start of the stay (elapsed time, no calendar)."""
-    elapsed = F.timestamp_diff("MICROSECOND", start, time)
+    """1-based step of a time after the start of the stay.
+
+    The difference of zone-less timestamps is elapsed time; a timestamp function would
+    bring in the session zone and its clock changes.
+    """
+    elapsed = ((time - start).cast("interval second").cast("decimal(18,6)") * 1000000).cast("long")
     return (F.floor(elapsed / F.lit(hours * 3600 * 1e6)) + 1).cast("int")
 
 

@@ -68,7 +68,8 @@ def fill_random(
     keys = [*groups, "feature"]
     keyed = cells.withColumn("__key", cell_key(features, seed))
     observed = keyed.filter(F.col("value").isNotNull())
-    donors = exact_rank(observed, "__key", ("pid", "step"), keys, rank="__donor", total=None)
+    buckets = 32 if groups else 256
+    donors = exact_rank(observed, "__key", ("pid", "step"), keys, buckets=buckets, rank="__donor", total=None)
     donors = donors.select(*keys, "__donor", F.col("value").alias("__drawn"))
     counts = observed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     pick = F.when(
@@ -92,12 +93,13 @@ def fill_em(
     keys = [*groups, "feature"]
     key = cell_key(features, seed)
     gap = F.col("value").isNull()
-    draws = [F.when(gap, normal_draw(key, 101 * (i + 1))) for i in range(loops)]
-    stats = cells.groupBy(*keys).agg(
+    draws = [F.when(gap, normal_draw(F.col("__key"), 101 * (i + 1))).alias(f"d{i}") for i in range(loops - 1)]
+    drawn_rows = cells.select(*keys, "value", key.alias("__key")).select(*keys, "value", *draws)
+    stats = drawn_rows.groupBy(*keys).agg(
         F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"),
         F.count(F.when(gap, 1)).alias("m"),
-        *[F.coalesce(F.sum(z), F.lit(0.0)).alias(f"z{i}") for i, z in enumerate(draws[:-1])],
-        *[F.coalesce(F.sum(z * z), F.lit(0.0)).alias(f"y{i}") for i, z in enumerate(draws[:-1])],
+        *[F.coalesce(F.sum(f"d{i}"), F.lit(0.0)).alias(f"z{i}") for i in range(loops - 1)],
+        *[F.coalesce(F.sum(F.col(f"d{i}") * F.col(f"d{i}")), F.lit(0.0)).alias(f"y{i}") for i in range(loops - 1)],
     )
     mu = F.col("s") / F.col("n")
     stats = stats.withColumn("mu", mu).withColumn(

@@ -23,7 +23,8 @@ def cell_key(features: Sequence[str], seed: Column | int = 0) -> Column:
 
 
 def amputate(
-    cells: DataFrame, features: Sequence[str], pct: Column | float = 20.0, seed: Column | int = 242, groups: Sequence[str] = ()
+    cells: DataFrame, features: Sequence[str], pct: Column | float = 20.0, seed: Column | int = 242, groups: Sequence[str] = (),
+    buckets: int = 256,
 ) -> DataFrame:
     """Hide ``round(n * pct / 100)`` observed cells of every feature.
 
@@ -35,7 +36,8 @@ def amputate(
         F.col("value").isNull().alias("__empty"),
     )
     ranked = exact_rank(
-        keyed, "__key", ("pid", "step"), (*groups, "feature", "__empty"), rank="__rank", total="__n"
+        keyed, "__key", ("pid", "step"), (*groups, "feature", "__empty"), rank="__rank", total="__n",
+        buckets=buckets,
     )
     masked = ~F.col("__empty") & (F.col("__rank") <= F.round(F.col("__n") * share / 100))
     return (
@@ -54,7 +56,7 @@ def experiment_cells(
     ])
     spread = cells.select("*", F.inline(grid))
     return amputate(
-        spread, features, F.col("pct"), F.col("rep") * 100 + F.col("pct"), ("rep", "pct")
+        spread, features, F.col("pct"), F.col("rep") * 100 + F.col("pct"), ("rep", "pct"), buckets=32
     )
 
 

@@ -35,11 +35,11 @@ def scale_series(
 ) -> DataFrame:
     """Scaled features; every other column (keys included) travels along."""
     rest = [c for c in series.columns if c not in features]
-    bounds = _bound_map(params)
+    bounds = F.col("__bounds")
     scaled = [
         scale_to(F.col(f), bounds[f]["low"], bounds[f]["high"], lo, hi).alias(f) for f in features
     ]
-    return series.select(*rest, *scaled)
+    return series.withColumn("__bounds", _bound_map(params)).select(*rest, *scaled)
 
 
 def unscale_series(
@@ -51,14 +51,14 @@ def unscale_series(
     digits: int = 2,
 ) -> DataFrame:
     rest = [c for c in series.columns if c not in features]
-    bounds = _bound_map(params)
+    bounds = F.col("__bounds")
     raw = [
         round_half_even(
             unscale_from(F.col(f), bounds[f]["low"], bounds[f]["high"], lo, hi), digits
         ).alias(f)
         for f in features
     ]
-    return series.select(*rest, *raw)
+    return series.withColumn("__bounds", _bound_map(params)).select(*rest, *raw)
 
 
 def fit_cells(cells: DataFrame, groups: Sequence[str] = ()) -> DataFrame:

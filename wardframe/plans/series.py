@@ -14,6 +14,7 @@ from wardframe.operators import impute, knn_impute, relations, regression_impute
 from wardframe.plans import series_sql as sq
 from wardframe.plans.inputs import EVENT_TYPES, source, spark_view, sql_view
 from wardframe.plans.registry import query, with_views
+from wardframe.session import cut_lineage
 
 FEATURES = EVENT_TYPES
 RATE = 20
@@ -294,8 +295,13 @@ def _amputated(cells: str = "cells", groups: str = "", pct: str = str(RATE), see
 AMPUTATED = _amputated()
 
 
+def stored_cells(spark, sf):
+    """The 12-step series as a stored table: amputation and imputation read it many times."""
+    return gr.to_long(cut_lineage(series12(spark, sf)), FEATURES)
+
+
 def amputated(spark, sf):
-    return sampling.amputate(cells12(spark, sf), FEATURES, RATE, 242)
+    return sampling.amputate(stored_cells(spark, sf), FEATURES, RATE, 242)
 
 
 @query("amputate_mask", sq.series_ctes("cells", amputated=AMPUTATED) + "SELECT pid, step, feature, value, truth, masked FROM amputated")
@@ -419,7 +425,7 @@ _UNIT = f"""SELECT pid, step, feature, {sq.scale_sql('value', 0, 1)} AS value
 
 def unit_cells(spark, sf):
     """Cells scaled to (0, 1), as the imputation experiment takes them."""
-    cells = cells12(spark, sf)
+    cells = stored_cells(spark, sf)
     return scaling.scale_cells(cells, scaling.fit_cells(cells))
 
 
@@ -432,7 +438,7 @@ EXPERIMENT_CTES = {"unit_cells": _UNIT, **_EXPERIMENT}
 
 
 def score_grid(spark, sf):
-    experiment = sampling.experiment_cells(unit_cells(spark, sf), FEATURES, REPS, RATES)
+    experiment = cut_lineage(sampling.experiment_cells(unit_cells(spark, sf), FEATURES, REPS, RATES))
     return impute.score_grid(experiment, impute.column_methods(FEATURES))
 
 
