@@ -218,34 +218,38 @@ def _alignment_sql() -> str:
     def v(i: int, j: int) -> str:
         return f"v{i}_{j}" if i and j else ("0" if i == j else "1e10")
 
-    columns = []
-    for i in range(1, N + 1):
-        for j in range(1, N + 1):
-            a, b, c = v(i, j - 1), v(i - 1, j - 1), v(i - 1, j)
-            columns.append(f"least({a}, {b}, {c}) AS m{i}_{j}")
-            terms = [f"exp((m{i}_{j} - {x}) / {GAMMA}::DOUBLE)" for x in (a, b, c)]
-            columns.append(f"{' + '.join(terms)} AS z{i}_{j}")
-            columns.append(f"(y[{i}] - p[{j}]) ** 2 + m{i}_{j} - {GAMMA}::DOUBLE * ln(z{i}_{j}) AS v{i}_{j}")
-            columns += [f"{t} / z{i}_{j} AS q{i}_{j}_{s}" for s, t in enumerate(terms)]
-    forward = f"SELECT pid, feature, {', '.join(columns)} FROM pairs"
+    def layer(inner: str, columns: list[str]) -> str:
+        return f"SELECT *, {', '.join(columns)} FROM ({inner})"
+
+    def diagonal(d: int) -> list[tuple[int, int]]:
+        return [(i, d - i) for i in range(max(1, d - N), min(N, d - 1) + 1)]
+
+    body = "SELECT * FROM pairs"
+    for d in range(2, 2 * N + 1):
+        cells = [(i, j, (v(i, j - 1), v(i - 1, j - 1), v(i - 1, j))) for i, j in diagonal(d)]
+        body = layer(body, [f"least({a}, {b}, {c}) AS m{i}_{j}" for i, j, (a, b, c) in cells])
+        body = layer(body, [
+            f"exp((m{i}_{j} - {x}) / {GAMMA}::DOUBLE) AS w{i}_{j}_{s}" for i, j, opts in cells for s, x in enumerate(opts)
+        ])
+        body = layer(body, [f"w{i}_{j}_0 + w{i}_{j}_1 + w{i}_{j}_2 AS z{i}_{j}" for i, j, _ in cells])
+        body = layer(body, [
+            f"(y[{i}] - p[{j}]) ** 2 + m{i}_{j} - {GAMMA}::DOUBLE * ln(z{i}_{j}) AS v{i}_{j}" for i, j, _ in cells
+        ])
 
     def share(i: int, j: int, s: int) -> str:
-        return f"q{i}_{j}_{s}" if i <= N and j <= N else "0"
+        return f"w{i}_{j}_{s} / z{i}_{j}" if i <= N and j <= N else "0"
 
     def e(i: int, j: int) -> str:
         return f"e{i}_{j}" if i <= N and j <= N else "0"
 
-    back = []
-    for i in range(N, 0, -1):
-        for j in range(N, 0, -1):
-            if (i, j) == (N, N):
-                back.append(f"1.0::DOUBLE AS e{N}_{N}")
-                continue
-            back.append(
-                f"{share(i, j + 1, 0)} * {e(i, j + 1)} + {share(i + 1, j + 1, 1)} * {e(i + 1, j + 1)}"
-                f" + {share(i + 1, j, 2)} * {e(i + 1, j)} AS e{i}_{j}"
-            )
-    return f"SELECT pid, feature, v{N}_{N} AS shape, {', '.join(back)} FROM ({forward})"
+    body = layer(body, [f"1.0::DOUBLE AS e{N}_{N}"])
+    for d in range(2 * N - 1, 1, -1):
+        body = layer(body, [
+            f"{share(i, j + 1, 0)} * {e(i, j + 1)} + {share(i + 1, j + 1, 1)} * {e(i + 1, j + 1)}"
+            f" + {share(i + 1, j, 2)} * {e(i + 1, j)} AS e{i}_{j}"
+            for i, j in diagonal(d)
+        ])
+    return f"SELECT *, v{N}_{N} AS shape FROM ({body})"
 
 
 _TEMPORAL = "(" + " + ".join(
