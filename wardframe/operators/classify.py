@@ -19,9 +19,9 @@ def class_ratio(rows: DataFrame, label: str = "label") -> DataFrame:
     n = F.col("negatives") + F.col("positives")
     return counts.select(
         "negatives", "positives",
-        F.round(F.col("negatives") / F.col("positives"), 3).alias("ratio"),
-        (n / (2 * F.col("negatives"))).alias("weight_negative"),
-        (n / (2 * F.col("positives"))).alias("weight_positive"),
+        F.round(F.try_divide("negatives", "positives"), 3).alias("ratio"),
+        F.try_divide(n, 2 * F.col("negatives")).alias("weight_negative"),
+        F.try_divide(n, 2 * F.col("positives")).alias("weight_positive"),
     )
 
 
@@ -48,7 +48,7 @@ def threshold_scores(rows: DataFrame, keys: Sequence[str] = (), label: str = "la
     n = tp + fp + fn + tn
 
     def f1(hit, wrong, missed):
-        return F.coalesce(2 * hit / F.nullif(2 * hit + wrong + missed, F.lit(0)), F.lit(0.0))
+        return F.coalesce(F.try_divide(2 * hit, 2 * hit + wrong + missed), F.lit(0.0))
 
     return counts.select(
         *keys, "tp", "fp", "fn", "tn",
@@ -87,18 +87,19 @@ def curve_points(rows: DataFrame, keys: Sequence[str] = (), label: str = "label"
             (F.col("__tp") + F.col("__p0")).alias("tp"), (F.col("__fp") + F.col("__n0")).alias("fp"),
             "positives", "negatives",
         )
-        .withColumn("tpr", F.col("tp") / F.col("positives"))
-        .withColumn("fpr", F.col("fp") / F.col("negatives"))
+        .withColumn("tpr", F.try_divide("tp", "positives"))
+        .withColumn("fpr", F.try_divide("fp", "negatives"))
         .withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
     )
 
 
 def curve_areas(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Area under the ROC curve (ties count half) and average precision."""
+    """Area under the ROC curve (ties count half) and average precision; NULL where only one
+    class is present."""
     won = F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2)
     return points.groupBy(*keys).agg(
-        (F.sum(won) / (F.max("positives") * F.max("negatives"))).alias("auc"),
-        (F.sum(F.col("pos") * F.col("precision")) / F.max("positives")).alias("average_precision"),
+        F.try_divide(F.sum(won), F.max("positives") * F.max("negatives")).alias("auc"),
+        F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.max("positives")).alias("average_precision"),
     )
 
 

@@ -75,8 +75,8 @@ def fill_random(
     pick = F.when(
         F.col("value").isNull(), F.pmod(hash_key(F.col("__key"), seed + 1), F.col("__n")) + 1
     )
-    asked = keyed.join(_feature_table(counts), keys).withColumn("__donor", pick)
-    missing = asked.filter(F.col("value").isNull()).join(donors, [*keys, "__donor"])
+    asked = keyed.join(_feature_table(counts), keys, "left").withColumn("__donor", pick)
+    missing = asked.filter(F.col("value").isNull()).join(donors, [*keys, "__donor"], "left")
     kept = asked.filter(F.col("value").isNotNull()).withColumn("__drawn", F.col("value"))
     return missing.unionByName(kept).withColumnRenamed("__drawn", "imputed").drop("__key", "__n", "__donor")
 
@@ -101,9 +101,9 @@ def fill_em(
         *[F.coalesce(F.sum(f"d{i}"), F.lit(0.0)).alias(f"z{i}") for i in range(loops - 1)],
         *[F.coalesce(F.sum(F.col(f"d{i}") * F.col(f"d{i}")), F.lit(0.0)).alias(f"y{i}") for i in range(loops - 1)],
     )
-    mu = F.col("s") / F.col("n")
+    mu = F.try_divide("s", "n")
     stats = stats.withColumn("mu", mu).withColumn(
-        "sd", F.sqrt(F.greatest(F.col("q") / F.col("n") - mu * mu, F.lit(0.0)))
+        "sd", F.sqrt(F.greatest(F.try_divide("q", "n") - mu * mu, F.lit(0.0)))
     )
     for i in range(loops - 1):
         count = F.col("n") + F.col("m")

@@ -25,7 +25,7 @@ def masked_scores(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame
         F.avg(e * e).alias("mse"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
-        (1 - F.sum(e * e) / (F.var_pop("y") * F.count(F.lit(1)))).alias("r2"),
+        (1 - F.try_divide(F.sum(e * e), F.var_pop("y") * F.count(F.lit(1)))).alias("r2"),
     )
 
 
@@ -70,7 +70,7 @@ def prediction_interval(predictions: DataFrame, z: float = 1.96) -> DataFrame:
     """``yhat -/+ z * sqrt(SSE / (n - 2))`` per feature; the per-feature table is tiny."""
     e = _error()
     width = predictions.groupBy("feature").agg(
-        (z * F.sqrt(F.sum(e * e) / (F.count(e) - 2))).alias("__width")
+        (z * F.sqrt(F.try_divide(F.sum(e * e), F.count(e) - 2))).alias("__width")
     )
     return (
         predictions.join(F.broadcast(width), "feature")

@@ -58,7 +58,7 @@ def mean_band(log: DataFrame, keys: Sequence[str], value: Column | str, z: float
     """Mean with a normal 95 % band per group."""
     v = F.col(value) if isinstance(value, str) else value
     sd, n = F.stddev_samp(v), F.count(v)
-    half = z * sd / F.sqrt(n)
+    half = F.try_divide(z * sd, F.sqrt(n))
     return log.groupBy(*keys).agg(
         n.alias("n"), F.avg(v).alias("mean"), (F.avg(v) - half).alias("band_low"), (F.avg(v) + half).alias("band_high")
     )

@@ -324,7 +324,7 @@ def roc_points(spark, sf):
     pairs AS (SELECT a.lang, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS auc
               FROM scored a JOIN scored b ON a.lang = b.lang AND a.label = 1 AND b.label = 0 GROUP BY a.lang)
     SELECT p.lang, round(any_value(pairs.auc), 6) AS auc, round(sum(pos * (tp / (tp + fp))) / max(positives), 6) AS average_precision
-    FROM points p JOIN pairs USING (lang) GROUP BY p.lang""")
+    FROM points p LEFT JOIN pairs USING (lang) GROUP BY p.lang""")
 def roc_auc(spark, sf):
     return r6(classify.curve_areas(classify.curve_points(_scored(spark, sf), ["lang"]), ["lang"]), "auc", "average_precision")
 
