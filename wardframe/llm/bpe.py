@@ -32,9 +32,9 @@ CACHE_WORDS = 400_000
 #: Longer words are not kept.
 CACHE_CHARS = 64
 #: Texts of these characters only are composed already, and lower-casing them needs no context.
-PLAIN = "\\t\\n\\r -~\u00a1-\u012f\u0131-\u02af"
+PLAIN = "\\t\\n\\r -~\u00a1-\u012f\u0131-\u017f"
 #: The letters and numbers among them, once in lower case.
-PLAIN_LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u02af"
+PLAIN_LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f"
 PLAIN_NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _NONE = 1 << 62
 _SHIFT = 32
