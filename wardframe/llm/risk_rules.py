@@ -33,8 +33,9 @@ REPEAT_PERCENT = 30
 WINDOW_WORDS = 8
 MAX_LOSS = 0.05
 ERROR = 0.05
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+NOT_SPACE = r"[^\x20\x09-\x0D]"
+#: Everything but the counted symbols and the exclamation mark.
+NOT_MARK = r"[^#*$%&|<>!]+"
 STRATUM_NONE = "none"
 
 
@@ -100,24 +101,26 @@ def base_statistics(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` plus n_words, word_chars, n_symbols, n_exclaims, n_dup_lines, n_repeat_words, base_failed."""
     body = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(body, WORD_SPACE), "")
-    lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    length = F.length(body)
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(NOT_SPACE))
+    marks = F.regexp_replace(body, NOT_MARK, "")  # one pass; what is left is short
     repeats = once(words, lambda ws: F.struct(
         F.size(ws).cast("long").alias("n_words"),
+        F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
         once(_window_hashes(ws), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h)).otherwise(0))
         .cast("long").alias("n_repeat_words"),
     ))
     out = df.select(
         *keep,
         repeats.alias("r"),
-        F.length(F.translate(body, SPACES, "")).cast("long").alias("word_chars"),
-        (length - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (length - F.length(F.translate(body, "!", ""))).cast("long").alias("n_exclaims"),
+        once(marks, lambda m: F.struct(
+            F.length(F.replace(m, F.lit("!"), F.lit(""))).cast("long").alias("symbols"), F.length(m).cast("long").alias("all"),
+        )).alias("m"),
         once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return out.select(
-        *keep, "r.n_words", "word_chars", "n_symbols", "n_exclaims", "n_dup_lines", "r.n_repeat_words",
+        *keep, "r.n_words", "r.word_chars", F.col("m.symbols").alias("n_symbols"),
+        (F.col("m.all") - F.col("m.symbols")).alias("n_exclaims"), "n_dup_lines", "r.n_repeat_words",
     ).withColumn("base_failed", failed)
 
 
