@@ -184,7 +184,10 @@ def _digests(path: str):
             counts.append(len(packed) // 4)
             ids.append(hashlib.sha256(packed).hexdigest())
             decoded.append(hashlib.sha256(words.encode("utf-8", "surrogatepass")).hexdigest())
-        return pd.DataFrame({"n_tokens": pd.Series(counts, dtype="int64"), "ids_sha256": ids, "decoded_sha256": decoded})
+        return pd.DataFrame({
+            "n_tokens": pd.Series(counts, dtype="int64"), "ids_sha256": pd.Series(ids, dtype=object),
+            "decoded_sha256": pd.Series(decoded, dtype=object),
+        })
 
     return run
 
@@ -195,8 +198,8 @@ def _encoded(path: str):
     def run(texts: list) -> pd.DataFrame:
         rows = [codec.pack(text or "") for text in texts]
         return pd.DataFrame({
-            "ids": [list(struct.unpack(f"<{len(p) // 4}I", p)) for p, _ in rows],
-            "decoded": [d for _, d in rows],
+            "ids": pd.Series([list(struct.unpack(f"<{len(p) // 4}I", p)) for p, _ in rows], dtype=object),
+            "decoded": pd.Series([d for _, d in rows], dtype=object),
         })
 
     return run

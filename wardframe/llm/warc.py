@@ -188,7 +188,7 @@ def _writer(folder: str, archive_bytes: int):
                 archive.add(record_chunks(str(r.page_id), url, int(r.payload_bytes), r.payload_digest, refers, text))
         if archive is not None:
             done.append(archive.close())
-        yield pd.DataFrame({"archive": [d[0] for d in done], "records": pd.Series([d[1] for d in done], dtype="int64")})
+        yield pd.DataFrame({"archive": pd.Series([d[0] for d in done], dtype=object), "records": pd.Series([d[1] for d in done], dtype="int64")})
 
     return run
 
