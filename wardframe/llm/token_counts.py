@@ -6,9 +6,10 @@ stands around it: between a character that is no white space and a white-space c
 between a letter and an ASCII digit. No piece of the pattern spans such a position and no piece
 before it looks further, so the tokens on either side are those of the whole text. The overlap is
 longer than any special token, hence a special token cut by one window is whole in the other, which
-then has no boundary inside it. If the overlap holds no such position it is doubled; if it reaches
-the start of the left window, that window is encoded anew with twice the length. In the worst case
-(one endless word) the text is encoded whole, so the result is always that of the library.
+then has no boundary inside it. Both sides of a join are encoded with offsets around the overlap; if
+that holds no such position it is doubled; if it reaches the middle of the left window, the window is
+taken twice as long. In the worst case (one endless word) the text is encoded whole, so the result is
+always that of the library.
 
 Defined results: NULL is the empty text (0 bytes, 0 tokens); repeated rows give repeated rows; an
 empty table gives an empty table; extra columns stay.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,8 +41,8 @@ class SplicingEncoder:
     def __init__(self, tokenizer, window: int = WINDOW, overlap: int = OVERLAP):
         tokens = tokenizer.get_added_tokens_decoder().values()
         longest = max([len(t.content) for t in tokens], default=0)
-        if overlap <= longest or window < 2 * overlap:
-            raise ValueError("the overlap must exceed the longest special token, the window two overlaps")
+        if overlap <= longest or window < 4 * overlap:
+            raise ValueError("the overlap must exceed the longest special token, the window four overlaps")
         self.tokenizer = tokenizer
         self.window = window
         self.overlap = overlap
@@ -64,33 +66,36 @@ class SplicingEncoder:
                 return a
         return None
 
-    def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
-        """Ids and character spans of the whole text."""
+    def cuts(self, text: str) -> Iterator[int]:
+        """Where windows join: proven boundaries, each seen from both sides of an overlap."""
         start, length, window = 0, len(text), self.window
-        end = min(length, window)
-        ids, spans = self._encode(text, start, end)
-        out_ids: list[int] = []
-        out_spans: list[tuple[int, int]] = []
-        while end < length:
-            overlap, cut = self.overlap, None
-            while cut is None and end - overlap > start:
-                right_start = end - overlap
-                right_end = min(length, right_start + max(self.window, 2 * overlap))
-                right_ids, right_spans = self._encode(text, right_start, right_end)
-                cut = self._common_cut(text, spans, right_spans, end)
+        while start + window < length:
+            end, overlap, cut = start + window, self.overlap, None
+            while cut is None and end - 2 * overlap > start:
+                _, left = self._encode(text, end - 2 * overlap, end)
+                _, right = self._encode(text, end - overlap, min(length, end + overlap))
+                cut = self._common_cut(text, left, right, end)
                 overlap *= 2
-            if cut is None:  # no proven boundary since the window's start: a longer window
-                window = 2 * (end - start)
-                end = min(length, start + window)
-                ids, spans = self._encode(text, start, end)
+            if cut is None:  # no proven boundary in half the window: a longer window
+                window *= 2
                 continue
-            keep = sum(1 for _, b in spans if b <= cut)
-            skip = sum(1 for a, _ in right_spans if a < cut)
-            out_ids += ids[:keep]
-            out_spans += spans[:keep]
-            ids, spans = right_ids[skip:], right_spans[skip:]
-            start, end = cut, right_end
-        return out_ids + ids, out_spans + spans
+            yield cut
+            start, window = cut, self.window
+
+    def segments(self, text: str) -> list[tuple[int, int]]:
+        """The spans between the joins; encoded one by one they give the encoding of the text."""
+        at = [0, *self.cuts(text), len(text)]
+        return list(zip(at, at[1:], strict=False))
+
+    def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
+        """Ids and character spans of the whole text."""
+        ids: list[int] = []
+        spans: list[tuple[int, int]] = []
+        for a, b in self.segments(text):
+            some_ids, some_spans = self._encode(text, a, b)
+            ids += some_ids
+            spans += some_spans
+        return ids, spans
 
 
 class PieceCounter:
@@ -140,7 +145,7 @@ def _kernel(path: str, window: int, overlap: int):
         short = []
         for i, text in enumerate(texts):
             if text and len(text) > window:
-                counts[i] = len(encoder.encode(text)[0])
+                counts[i] = sum(pieces.counts([text[a:b] for a, b in encoder.segments(text)]))
             elif text:
                 short.append(i)
         for i, n in zip(short, pieces.counts([texts[i] for i in short]), strict=True):
