@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 from wardframe.llm.texts import slices, text_udf
 
 FIT_TEXTS = 30_000
-WORDS = 200_000
-GRAMS = 60_000
+WORDS = 120_000
+GRAMS = 40_000
 LENGTHS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 #: Added to every count, so that a word seen in one language only does not exclude the others.
 SMOOTHING = 0.5
+#: Parts in which the words of a language are ranked before they meet.
+PARTS = 32
 #: Distinct words whose scores a worker keeps; then it starts over.
 CACHE_WORDS = 300_000
 #: Rows that a task holds before it hands partial word counts on.
@@ -117,8 +119,12 @@ def fit(
     counted = rows.mapInPandas(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
     share = max(1, words // max(1, len(languages)))
+    # A language's words are ranked in salted parts first, so that the last window is bounded by the parts.
+    first = Window.partitionBy("lang", "part").orderBy(F.desc("n"), "word")
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= share).drop("place").toPandas()
+    parted = counted.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS)))
+    few = parted.withColumn("place", F.row_number().over(first)).where(F.col("place") <= share)
+    top = few.withColumn("place", F.row_number().over(best)).where(F.col("place") <= share).drop("place", "part").toPandas()
     by_word: dict[str, Counter] = {x: Counter() for x in languages}
     by_gram: dict[int, dict[str, Counter]] = {n: {x: Counter() for x in languages} for n in LENGTHS}
     for code, word, n in zip(top["lang"], top["word"], top["n"], strict=True):
