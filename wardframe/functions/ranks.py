@@ -7,30 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The minimal-standard congruential generator, repeatable in any SQL engine.
-MODULUS = 2147483647
-MULTIPLIER = 48271
-SEED_STEP = 69621
+#: Hash keys lie in [0, KEY_RANGE): twelve hexadecimal digits of a digest.
+KEY_RANGE = 2**48
 
 
 def hash_key(ident: Column, seed: Column | int = 0) -> Column:
-    """Integer in [0, 2**31-1) that depends on ``ident`` and ``seed`` only."""
+    """Integer in [0, 2**48) from a digest of ``ident`` and ``seed`` as text.
+
+    A digest mixes: draws of different seeds, or of neighbouring ids, are independent of each
+    other. Any SQL engine with md5 can repeat it.
+    """
     offset = F.lit(seed) if isinstance(seed, int) else seed
-    first = (F.pmod(ident.cast("long"), F.lit(MODULUS)) * MULTIPLIER + offset * SEED_STEP) % MODULUS
-    return (first * MULTIPLIER + 12345) % MODULUS
+    text = F.concat_ws(":", ident.cast("string"), offset.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
 
 
 def unit_draw(ident: Column, seed: Column | int = 0) -> Column:
     """Uniform draw in (0, 1)."""
-    return (hash_key(ident, seed) + 1) / F.lit(float(MODULUS) + 1)
+    return (hash_key(ident, seed) + 1) / F.lit(float(KEY_RANGE) + 1)
 
 
 def normal_draw(ident: Column, seed: Column | int = 0) -> Column:
-    """Standard normal draw by the Box-Muller transform of two hash draws."""
-    second = seed + 7919 if isinstance(seed, int) else seed + F.lit(7919)
-    return F.sqrt(-2 * F.log(unit_draw(ident, seed))) * F.cos(
-        2 * F.pi() * unit_draw(ident, second)
-    )
+    """Standard normal draw by the Box-Muller transform of two independent hash draws."""
+    angle = unit_draw(F.concat(ident.cast("string"), F.lit(":angle")), seed)
+    return F.sqrt(-2 * F.log(unit_draw(ident, seed))) * F.cos(2 * F.pi() * angle)
 
 
 def exact_rank(
@@ -38,8 +38,8 @@ def exact_rank(
     key: str,
     ties: Sequence[str],
     groups: Sequence[str] = (),
-    key_max: int = MODULUS,
-    buckets: int = 1024,
+    key_max: int = KEY_RANGE,
+    buckets: int | None = None,
     rank: str = "rank",
     total: str | None = "total",
 ) -> DataFrame:
@@ -48,9 +48,12 @@ def exact_rank(
     One window over a whole group would run in a single task. Instead the key range
     [0, key_max) is cut into buckets; rows are numbered inside their bucket and the
     number of rows in earlier buckets (a table of at most ``buckets`` rows per group)
-    is added. ``key`` must spread over its range, as ``hash_key`` does.
+    is added. ``key`` must spread over its range, as ``hash_key`` does. Unless given, the
+    number of buckets follows the shuffle partitions, which a cluster sets to its data.
     """
     bucket = "__bucket"
+    if buckets is None:
+        buckets = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = df.withColumn(
         bucket, F.least(F.floor(F.col(key) / F.lit(key_max / buckets)), F.lit(buckets - 1))
     )

@@ -98,21 +98,35 @@ def bootstrap_mse(
     )
 
 
+def series_terms(x: float, most: int = 128) -> int:
+    """Terms of the exponential series at ``x`` until they fall below 1e-18 of its scale."""
+    term, k = 1.0, 0
+    while term > 1e-18 or k < 2:
+        k += 1
+        term *= x / k
+        if k > most or term > 1e12:
+            raise ValueError("values too large for the kernel series; scale them to about [-1, 1]")
+    return k + 1
+
+
 def scalar_mmd(
-    predictions: DataFrame, keys: Sequence[str] = (), bandwidths: Sequence[int] = MMD_BANDWIDTHS, terms: int = 16
+    predictions: DataFrame, keys: Sequence[str] = (), bandwidths: Sequence[int] = MMD_BANDWIDTHS
 ) -> DataFrame:
     """RBF maximum mean discrepancy between real and predicted scalars, without pairs.
 
     ``exp(-(x-y)^2/2a) = exp(-x^2/2a) exp(-y^2/2a) sum_k (xy/a)^k / k!``, so the mean over
-    all pairs is a sum of products of moments. With values scaled to about [-1, 1] and
-    a >= 10 the series is exact to double precision after a few terms; the work is linear
-    in the rows instead of quadratic.
+    all pairs is a sum of products of moments; the work is linear in the rows instead of
+    quadratic. The largest value decides how many terms double precision needs (few for
+    values scaled to about [-1, 1]); values for which the series would lose its precision
+    raise an error: scale them first.
     """
     def moment(x: Column, a: int, k: int) -> Column:
         return F.avg(F.pow(x, F.lit(k)) * F.exp(-x * x / (2 * a)))
 
     y, p = F.col("y"), F.col("yhat")
     used = predictions.filter(y.isNotNull() & p.isNotNull())
+    largest = used.agg(F.max(F.greatest(F.abs(y), F.abs(p)))).first()[0] or 0.0
+    terms = series_terms(largest * largest / min(bandwidths))
     moments = used.groupBy(*keys).agg(*[
         (moment(y, a, k) - moment(p, a, k)).alias(f"m{a}_{k}") for a in bandwidths for k in range(terms)
     ])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from wardframe.functions.ranks import exact_rank, hash_key
 from wardframe.operators.classify import balanced_weights, curve_areas, curve_points, report
 from wardframe.operators.sampling import assign_folds, stratified_split
+from wardframe.session import cut_lineage
 
 SEED = 422
 LEARNING_RATE = 0.003
@@ -66,21 +67,23 @@ def forecast(model, rows: DataFrame, features: Sequence[str], n_in: int = 6, con
 
 
 def fold_ensemble(
-    train_rows: DataFrame, test_rows: DataFrame, features: Sequence[str], k: int = 5, repeats: int = 1, conditions: int = 10, n_in: int = 6
+    train_rows: DataFrame, test_rows: DataFrame, features: Sequence[str], k: int = 5, repeats: int = 10, conditions: int = 10, n_in: int = 6
 ) -> DataFrame:
     """One model per fold of every repeat, fitted without its fold; test predictions are the
-    mean over all models."""
-    folds = assign_folds(train_rows, k, repeats)
-    predictions = []
+    mean over all models, which for linear models is one model of the mean coefficients."""
+    folds = cut_lineage(assign_folds(train_rows, k, repeats))
+    coefficients, intercepts = [], []
     for repeat in range(1, repeats + 1):
         for fold in range(k):
             inside = folds.filter((F.col("repeat") == repeat) & (F.col("fold") != fold)).select("pid")
             model = fit_forecaster(train_rows.join(inside, "pid", "left_semi"), features, n_in, conditions)
-            predictions.append(forecast(model, test_rows, features, n_in, conditions))
-    every = reduce(lambda a, b: a.unionByName(b), predictions)
-    return every.groupBy("pid", "step", "feature").agg(
-        F.first("y").alias("y"), F.avg("yhat").alias("yhat"), F.first("observed").alias("observed")
-    )
+            coefficients.append(model.coefficients.toArray())
+            intercepts.append(model.intercept)
+    weights = F.array(*[F.lit(float(w)) for w in sum(coefficients) / len(coefficients)])
+    products = F.zip_with(vector_to_array("inputs"), weights, lambda x, w: x * w)
+    yhat = F.aggregate(products, F.lit(sum(intercepts) / len(intercepts)), lambda s, x: s + x)
+    rows = _assembled(test_rows, features, n_in, conditions)
+    return rows.select("pid", "step", "feature", "y", yhat.alias("yhat"), "observed")
 
 
 def _vectors(rows: DataFrame, inputs: Sequence[str]) -> DataFrame:

@@ -301,7 +301,7 @@ def nutrition_labs(notes: DataFrame) -> DataFrame:
             lambda m: F.struct(
                 F.lit(lab.itemid).alias("itemid"),
                 F.lit(lab.unit).alias("fixed_unit"),
-                F.substring(m, len(lab.literal) + 1, 1000000).alias("rest"),
+                F.substring(m, F.lit(len(lab.literal) + 1), F.length(m)).alias("rest"),
             ),
         )
 

@@ -33,7 +33,9 @@ def dose_ranges(prescriptions: DataFrame, stays: DataFrame, cohort: DataFrame |
 
 def unit_survey(prescriptions: DataFrame) -> DataFrame:
     """In which units the drugs of interest are prescribed, and how often."""
-    names = F.broadcast(drug_dictionary(prescriptions.sparkSession))
+    spark = prescriptions.sparkSession
+    extra = spark.createDataFrame([(n,) for n in codes.SURVEY_ONLY_NAMES], "drug_key string")
+    names = F.broadcast(drug_dictionary(spark).select("drug_key").union(extra))
     return (
         prescriptions.withColumn("drug_key", F.lower("drug"))
         .join(names, "drug_key", "left_semi")

@@ -15,16 +15,13 @@ from wardframe.functions.ranks import exact_rank, hash_key
 
 
 def cell_key(features: Sequence[str], seed: Column | int = 0) -> Column:
-    """Hash of a cell (pid, step, feature), for up to a thousand steps."""
-    names = F.array(*[F.lit(f) for f in features])
-    index = F.array_position(names, F.col("feature"))
-    offset = F.lit(seed) if isinstance(seed, int) else seed
-    return hash_key(F.col("pid") * 1000 + F.col("step"), index * 1009 + offset)
+    """Hash of a cell (pid, step, feature)."""
+    place = F.concat_ws(":", F.col("pid").cast("string"), F.col("step").cast("string"), "feature")
+    return hash_key(place, seed)
 
 
 def amputate(
     cells: DataFrame, features: Sequence[str], pct: Column | float = 20.0, seed: Column | int = 242, groups: Sequence[str] = (),
-    buckets: int = 256,
 ) -> DataFrame:
     """Hide ``round(n * pct / 100)`` observed cells of every feature.
 
@@ -36,8 +33,7 @@ def amputate(
         F.col("value").isNull().alias("__empty"),
     )
     ranked = exact_rank(
-        keyed, "__key", ("pid", "step"), (*groups, "feature", "__empty"), rank="__rank", total="__n",
-        buckets=buckets,
+        keyed, "__key", ("pid", "step"), (*groups, "feature", "__empty"), rank="__rank", total="__n"
     )
     masked = ~F.col("__empty") & (F.col("__rank") <= F.round(F.col("__n") * share / 100))
     return (
@@ -56,7 +52,7 @@ def experiment_cells(
     ])
     spread = cells.select("*", F.inline(grid))
     return amputate(
-        spread, features, F.col("pct"), F.col("rep") * 100 + F.col("pct"), ("rep", "pct"), buckets=32
+        spread, features, F.col("pct"), F.col("rep") * 100 + F.col("pct"), ("rep", "pct")
     )
 
 

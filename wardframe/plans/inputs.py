@@ -37,7 +37,8 @@ _VENT_VALUES = (
 )
 _DRUGS = (
     "Aspirin,Clopidogrel,LISINOPRIL,Heparin,Insulin,Metoprolol Tartrate,Amiodarone,"
-    "Unknown Drug,Atorvastatin,Lantus,Digoxin,Captopril,Heparin Flush (10 units/ml),Warfarin"
+    "Unknown Drug,Atorvastatin,Lantus,Digoxin,Captopril,Heparin Flush (10 units/ml),Warfarin,"
+    "Rosuvastatin,Crestor,Rosuvastatin Calcium,Ezallor,Bisoprolol,Concor,Ziac,Maxsoten,Bezafibrate,Cedur,Low-Molecular-Weight"
 )
 _LABELS = "Heparin Sodium,Aspirin EC,Heart Rate,Toprol XL,Insulin - Regular,Sodium,DILTIAZEM,Amiodarone HCl"
 

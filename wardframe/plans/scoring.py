@@ -137,10 +137,10 @@ def loss_box_stats(spark, sf):
 
 
 @query("runs_side_by_side", _pred(f"""
-    SELECT pid * 1000 + step AS position, round(max(CASE WHEN loss = 'mse' THEN value END), 6) AS mse,
+    SELECT pid || ':' || step AS position, round(max(CASE WHEN loss = 'mse' THEN value END), 6) AS mse,
            round(max(CASE WHEN loss = 'mae' THEN value END), 6) AS mae FROM ({_LOSSES}) GROUP BY 1"""))
 def runs_side_by_side(spark, sf):
-    rows = _losses(spark, sf).withColumn("position", F.col("pid") * 1000 + F.col("step"))
+    rows = _losses(spark, sf).withColumn("position", F.concat_ws(":", F.col("pid").cast("string"), F.col("step").cast("string")))
     return r6(reports.runs_side_by_side(rows, ["mse", "mae"]), "mse", "mae")
 
 
@@ -370,7 +370,7 @@ def forecast_score(spark, sf):
 @query("kfold_ensemble")
 def kfold_ensemble(spark, sf):
     train, test = (models.forecast_rows(x, FEATURES) for x in _split_examples(spark, sf))
-    return models.fold_ensemble(train, test, FEATURES, k=5)
+    return models.fold_ensemble(train, test, FEATURES)
 
 
 _VECTOR = [f"{f}_{s}" for s in range(7, 13) for f in FEATURES]
@@ -390,13 +390,13 @@ def _outcome_tables(spark, sf):
 
 @query("mortality_protocols")
 def mortality_protocols(spark, sf):
-    return models.protocol_matrix(*_outcome_tables(spark, sf), _VECTOR, trees=5, depth=4)
+    return models.protocol_matrix(*_outcome_tables(spark, sf), _VECTOR)
 
 
 @query("perm_importance")
 def perm_importance(spark, sf):
     real, _ = _outcome_tables(spark, sf)
-    model = models.fit_mortality(real, _VECTOR, trees=5, depth=4)
+    model = models.fit_mortality(real, _VECTOR)
     groups = {f: [c for c in _VECTOR if c.rsplit("_", 1)[0] == f] for f in FEATURES}
     return models.permutation_importance(model, real, _VECTOR, groups)
 

@@ -490,9 +490,9 @@ def _chained(spark, sf, fill, **options):
 
 @query("impute_iterative")
 def impute_iterative(spark, sf):
-    return _chained(spark, sf, regression_impute.fill_iterative, rounds=4)
+    return _chained(spark, sf, regression_impute.fill_iterative)
 
 
 @query("impute_mice")
 def impute_mice(spark, sf):
-    return _chained(spark, sf, regression_impute.fill_mice, rounds=4)
+    return _chained(spark, sf, regression_impute.fill_mice)

@@ -5,26 +5,24 @@ from __future__ import annotations
 
 from wardframe.plans.inputs import EVENT_TYPES, sql_view
 
-M = 2147483647
 HOURS, STEPS = 15, 48
 TRAIN = "pid % 5 < 4"
 COLUMNS = ", ".join(f'"{f}"' for f in EVENT_TYPES)
 
 
 def key_sql(ident: str, seed: str | int = 0) -> str:
-    return f"(((({ident}) % {M}) * 48271 + ({seed}) * 69621) % {M} * 48271 + 12345) % {M}"
+    return f"CAST('0x' || substr(md5(concat_ws(':', {ident}, {seed})), 1, 12) AS BIGINT)"
 
 
 def cell_key_sql(seed: str | int = 0) -> str:
-    names = "[" + ", ".join(f"'{f}'" for f in EVENT_TYPES) + "]"
-    return key_sql("CAST(pid AS BIGINT) * 1000 + step", f"list_position({names}, feature) * 1009 + {seed}")
+    return key_sql("concat_ws(':', pid, step, feature)", seed)
 
 
 def normal_sql(key: str, seed: int) -> str:
-    def u(s: int) -> str:
-        return f"(({key_sql(key, s)} + 1) / 2147483648.0::DOUBLE)"
+    def u(ident: str) -> str:
+        return f"(({key_sql(ident, seed)} + 1) / {2**48 + 1}.0::DOUBLE)"
 
-    return f"sqrt(-2 * ln({u(seed)})) * cos(2 * pi() * {u(seed + 7919)})"
+    return f"sqrt(-2 * ln({u(key)})) * cos(2 * pi() * {u(f"concat({key}, ':angle')")})"
 
 
 def half_even_sql(x: str, digits: int = 2) -> str:

@@ -226,9 +226,10 @@ def dose_range_parse(spark, sf):
     )
 
 
-@query("drug_unit_survey", with_views("prescriptions", drugs=_DRUGS) + """
+@query("drug_unit_survey", with_views("prescriptions", drugs=_DRUGS) + f"""
     SELECT lower(drug) AS drug, lower(dose_unit_rx) AS unit, count(*) AS prescriptions
-    FROM prescriptions WHERE lower(drug) IN (SELECT drug_key FROM drugs) GROUP BY 1, 2""")
+    FROM prescriptions WHERE lower(drug) IN (SELECT drug_key FROM drugs)
+       OR lower(drug) IN ({listed(codes.SURVEY_ONLY_NAMES)}) GROUP BY 1, 2""")
 def drug_unit_survey(spark, sf):
     return prescriptions.unit_survey(spark_view(spark, sf, "prescriptions"))
 

@@ -86,8 +86,16 @@ DOSE_FACTOR_INSULIN = 0.0347
 HEPARIN_RX_ITEMS = (30025,)
 INSULIN_RX_ITEMS = (4475, 223260)
 
+# Names that only the survey of units counts; they have no item.
+SURVEY_ONLY_NAMES = (
+    "low-molecular-weight", "bisoprolol", "concor", "ziac", "maxsoten", "bezafibrate", "cedur",
+)
+
 # Drug names (lower case) per item id.
 DRUG_NAMES = {
+    1101751: (
+        "rosuvastatin", "rosuvastatin calcium", "crestor", "ezallor",
+    ),
     7325: (
         "aspirin", "aas", "as", "asa", "aspirin (buffered)", "aspirin (rectal)",
         "acetylsalicylic acid", "salicylic acid", "aspi", "aspir", "aspiri", "aspirin desens",

@@ -64,19 +64,21 @@ INFUSIONS = (
     Infusion(30112, "Amiodarone", "mg/min", "mg", CONSULT, True),
 )
 
-# Biomarkers in flowsheet notes (lower-cased, blanks squeezed).
+# Biomarkers in flowsheet notes (lower-cased, blanks squeezed). The first and the last
+# pattern are own ones: they read the whole decimal number, ask for its decimal part, and the MB index
+# does not start inside "ck-mb".
 FLOWSHEET_DATE = r"flowsheet data as of ([\[\]0-9*-]+)"
 FLOWSHEET_TIME = r"flowsheet data as of [\[\]0-9*-]+ ([0-9:]+)"
 FLOWSHEET_BIOMARKERS = (
     Finding(
         227429, "ng/ml",
-        r"trop[a-z:]*[ -]?[a-z:]* ?[<>]? ?([0-9]+(?:\.[0-9]+)?)(?:[^0-9./]|\.[^0-9]|\.?$)", "trop",
+        r"trop[a-z:]*[ -]?[a-z:]* ?[<>]? ?([0-9]+\.[0-9]+)(?:[^0-9./]|\.[^0-9]|\.?$)", "trop",
     ),
     Finding(227429, "ng/ml", r"troponin[ -]?t?:? ?[0-9:]+/[0-9:]+/([0-9]\.[0-9]+)", "troponin",
             (GENERAL, PHYSICIAN)),
     Finding(50911, "ng/ml", r"[,]? ?ck[-]?mb[-]?[>]? ?[a-z]*? ([0-9:]+)", "mb"),
     Finding(50910, "ng/ml", r"ck[-]?[>]? ?[a-z]*? ([0-9:]+)", "ck"),
-    Finding(51091, "ng/ml", r"mb [a-z]*? ?([0-9]+(?:\.[0-9]+)?)", "mb "),
+    Finding(51091, "ng/ml", r"(?:^|[^a-z-])mb [a-z]*? ?([0-9]+\.[0-9]+)", "mb "),
 )
 
 # Biomarkers in discharge summaries. ``fragment`` finds date, clock and
@@ -251,7 +253,7 @@ MEDICATIONS = (
     ), (
         r"started on carvedilol [0-9:]mg - given at ([0-9:]+)", r"carvedilol [0-9:] at ([0-9:]+)",
         r"carvedilol at ([0-9:]+)\.",
-    )),
+    ), True),
     Medication(37707, ("sotalol",), (
         r"sotalol ([0-9:]+\.[0-9:]+)", r"sotalol (0\.[0-9:]+)", r"sotalol ([0-9:]+)",
     ), (
