@@ -43,6 +43,8 @@ TRIALS = 128
 #: Budgets tried: vectors in the opened leaves of all trees, as a share of the table.
 SHARES = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 5.0)
 LEAF_CHUNK = 2048
+#: Answers that a task holds before it combines them.
+COMBINE_ROWS = 400_000
 SEED = 5
 #: Vectors drawn to place the plane of a node.
 DRAWN = 256
@@ -188,13 +190,24 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list()).astype(float)
 
 
+def _best(parts: list[pd.DataFrame], keep: int) -> pd.DataFrame:
+    """The ``keep`` nearest distinct classes of each query."""
+    rows = pd.concat(parts, ignore_index=True).sort_values(["query", "class", "near"], ascending=[True, True, False])
+    rows = rows.drop_duplicates(["query", "class"]).sort_values(["query", "near", "class"], ascending=[True, False, True])
+    return rows[rows.groupby("query").cumcount() < keep]
+
+
 def _scored(keep: int):
-    """Streams rows sorted by (leaf, chunk, kind): first a chunk's classes, then the queries at it."""
+    """Streams rows sorted by (leaf, chunk, kind): first a chunk's classes, then the queries at it.
+
+    Answers of the leaves that meet in a task are combined per query before they leave it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, ids, vectors, matrix = None, [], [], None
+        out: list[pd.DataFrame] = []
+        held = 0
         for batch in batches:
-            out = []
             for (leaf, chunk, kind), part in batch.groupby(["leaf", "chunk", "kind"], sort=True):
                 if (leaf, chunk) != place:
                     place, ids, vectors, matrix = (leaf, chunk), [], [], None
@@ -217,8 +230,15 @@ def _scored(keep: int):
                         "query": np.repeat(own["id"].to_numpy(), n), "class": ids[0][top.ravel()],
                         "near": np.take_along_axis(scores, top, axis=1).ravel(),
                     }))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                    held += top.size
+            if held > COMBINE_ROWS:
+                out = [_best(out, keep)]
+                held = len(out[0])
+                if held > COMBINE_ROWS // 2:
+                    yield out[0]
+                    out, held = [], 0
+        if out:
+            yield _best(out, keep)
 
     return run
 
