@@ -26,8 +26,9 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
-    """``node`` and ``component`` (its smallest reachable node) for every node that has an edge to another.
+    """``node`` and ``component`` (its smallest reachable node) for every node that can reach a smaller one.
 
+    Smallest nodes themselves give no row: a node without one is its own component.
     Repeated edges, loops, either direction and NULL ends (ignored) are allowed.
     """
     a, b = F.col(left), F.col(right)
