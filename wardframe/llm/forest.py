@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from wardframe.session import cut_lineage
 
 TREES = 8
-LEAF = 512
-FIT_ROWS = 65_536
+LEAF = 256
+FIT_ROWS = 32_768
 #: Recall that the budget must reach for sampled queries within the sample.
 RECALL = 0.95
 TRIALS = 128
