@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from wardframe.session import cut_lineage
 
 TREES = 8
-LEAF = 256
+LEAF = 512
 FIT_ROWS = 32_768
 #: Recall that the budget must reach for sampled queries within the sample.
 RECALL = 0.95
