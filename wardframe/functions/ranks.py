@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,6 +78,28 @@ def exact_rank(
     return out.drop(bucket, "__local", "__before", "__total")
 
 
+def value_buckets(df: DataFrame, keys: Sequence[str], value: str, name: str = "__bucket", buckets: int | None = None) -> DataFrame:
+    """Adds a bucket number that rises with ``value`` within ``keys`` (equal values share one).
+
+    The bounds are approximate quantiles of the rows, so buckets hold about equally many rows
+    whatever the distribution: neither a far outlier nor values that lie close together fill one
+    bucket. The sketch combines on the map side; each row finds its place by binary search in
+    the array of bounds. NULL values fall into bucket 0.
+    """
+    if buckets is None:
+        wanted = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = 2 ** min(12, max(6, math.ceil(math.log2(wanted))))
+    by = list(keys) or ["__all"]
+    rows = df if keys else df.withColumn("__all", F.lit(0))
+    shares = [i / buckets for i in range(1, buckets)]
+    bounds = rows.groupBy(*by).agg(F.percentile_approx(value, shares, 20 * buckets).alias("__bounds"))
+    halves = F.array(*[F.lit(2**i) for i in reversed(range(int(math.log2(buckets))))])
+    place = F.aggregate(
+        halves, F.lit(0), lambda at, s: at + F.when(F.get("__bounds", at + s - 1) < F.col(value), s).otherwise(0)
+    )
+    return rows.join(bounds, by).withColumn(name, place).drop("__bounds", "__all")
+
+
 def positions(df: DataFrame, block: Sequence[str], name: str = "position") -> DataFrame:
     """Zero-based line position of a scan, for formats that carry meaning by row order.
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 ALPHA, GAMMA = 0.3, 0.01
 _BORDER = 1e10
-_SLICE = 256
+#: Cells of the cost matrices of one slice.
+_SLICE_CELLS = 256 * 64
 
 
 def _diagonals(n: int, m: int):
@@ -62,8 +63,9 @@ def _batches(real: pd.Series, predicted: pd.Series):
         if n == 0 or m == 0:
             continue
         where = group.index.to_numpy()
-        for start in range(0, len(where), _SLICE):
-            at = where[start : start + _SLICE]
+        rows = max(1, _SLICE_CELLS // (n * m))
+        for start in range(0, len(where), rows):
+            at = where[start : start + rows]
             yield at, np.stack(real.to_numpy()[at]).astype(float), np.stack(predicted.to_numpy()[at]).astype(float)
 
 

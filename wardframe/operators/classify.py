@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from wardframe.functions.ranks import value_buckets
+from wardframe.session import cut_lineage
 
 
 def class_ratio(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -61,16 +62,13 @@ def curve_points(rows: DataFrame, keys: Sequence[str] = (), label: str = "label"
     """True and false positives at every distinct score, highest first.
 
     Equal scores are counted together first, so a score shared by very many rows is one
-    row. Running totals are taken inside score buckets and shifted by the totals of the
-    higher buckets: no window spans the whole table. Scores lie in [0, 1].
+    row. Running totals are taken inside score buckets of about equal size and shifted by the
+    totals of the higher buckets: no window spans the whole table.
     """
     y = F.col(label)
-    points = (
-        rows.groupBy(*keys, score)
-        .agg(F.count(F.when(y == 1, 1)).alias("pos"), F.count(F.when(y == 0, 1)).alias("neg"))
-        .withColumn("__bucket", F.least(F.floor((1 - F.col(score)) * BUCKETS), F.lit(BUCKETS - 1)))
-    )
-    above = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.groupBy(*keys, score).agg(F.count(F.when(y == 1, 1)).alias("pos"), F.count(F.when(y == 0, 1)).alias("neg"))
+    points = value_buckets(cut_lineage(counted), keys, score)
+    above = Window.partitionBy(*keys).orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     sums = points.groupBy(*keys, "__bucket").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
     offsets = sums.select(

@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardframe.functions.ranks import exact_rank, hash_key
@@ -19,6 +19,8 @@ from wardframe.session import cut_lineage
 
 SEED = 422
 LEARNING_RATE = 0.003
+#: The defaults of the booster library.
+TREES, DEPTH = 20, 5
 
 
 def forecast_rows(examples: DataFrame, features: Sequence[str], n_in: int = 6, n_out: int = 6) -> DataFrame:
@@ -90,7 +92,7 @@ def _vectors(rows: DataFrame, inputs: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(inputs), outputCol="inputs", handleInvalid="skip").transform(rows)
 
 
-def fit_mortality(rows: DataFrame, inputs: Sequence[str], trees: int = 20, depth: int = 5) -> GBTClassificationModel:
+def fit_mortality(rows: DataFrame, inputs: Sequence[str], trees: int = TREES, depth: int = DEPTH) -> GBTClassificationModel:
     """Class-weighted boosted trees on flattened series; ``rows`` has ``label`` 0/1."""
     weighted = balanced_weights(rows)
     booster = GBTClassifier(
@@ -106,7 +108,7 @@ def score_mortality(model: GBTClassificationModel, rows: DataFrame, inputs: Sequ
 
 
 def protocol_matrix(
-    real: DataFrame, synthetic: DataFrame, inputs: Sequence[str], trees: int = 20, depth: int = 5
+    real: DataFrame, synthetic: DataFrame, inputs: Sequence[str], trees: int = TREES, depth: int = DEPTH
 ) -> DataFrame:
     """Train and test on real or predicted series: TRTR, TSTS, TRTS, TSTR.
 
@@ -131,24 +133,24 @@ def permutation_importance(
 ) -> DataFrame:
     """Loss of AUC when all columns of one feature are taken from another patient.
 
-    The other patient is found by an equi-join of two hash ranks, which is a permutation.
+    ``rows`` should be held out from the fit. The other patient is found by one equi-join of two
+    hash ranks, which is a permutation; all variants are then made from the joined row in one pass.
     """
-    rows = rows.dropna(subset=list(inputs))
-    donors = exact_rank(rows.withColumn("__k", hash_key(F.col("pid"), seed + 1)), "__k", ("pid",), rank="__r", total=None)
-    takers = exact_rank(rows.withColumn("__k", hash_key(F.col("pid"), seed)), "__k", ("pid",), rank="__r", total=None)
-    variants = [rows.select("pid", "label", *inputs, F.lit("(none)").alias("shuffled"))]
-    for name, columns in groups.items():
-        swapped = donors.select("__r", *[F.col(c).alias(f"__{c}") for c in columns])
-        joined = takers.join(swapped, "__r")
-        variants.append(joined.select(
-            "pid", "label", *[F.col(f"__{c}").alias(c) if c in columns else F.col(c) for c in inputs],
-            F.lit(name).alias("shuffled"),
-        ))
-    scored = score_mortality(model, reduce(lambda a, b: a.unionByName(b), variants), inputs)
+    own = cut_lineage(rows.dropna(subset=list(inputs)).select("pid", "label", *inputs))
+    takers = exact_rank(own.withColumn("__k", hash_key(F.col("pid"), seed)), "__k", ("pid",), rank="__r", total=None)
+    donors = exact_rank(own.withColumn("__k", hash_key(F.col("pid"), seed + 1)), "__k", ("pid",), rank="__r", total=None)
+    both = takers.join(donors.select("__r", *[F.col(c).alias(f"__{c}") for c in inputs]), "__r")
+
+    def variant(name: str, columns: Sequence[str]) -> Column:
+        values = [F.col(f"__{c}" if c in columns else c).alias(c) for c in inputs]
+        return F.struct(F.lit(name).alias("shuffled"), *values)
+
+    variants = [variant("(none)", ()), *[variant(name, columns) for name, columns in groups.items()]]
+    scored = score_mortality(model, both.select("label", F.inline(F.array(*variants))), inputs)
     areas = curve_areas(curve_points(scored.select("label", "score", "shuffled"), ["shuffled"]), ["shuffled"])
-    base = areas.filter(F.col("shuffled") == "(none)").agg(F.max("auc")).scalar()
-    return areas.filter(F.col("shuffled") != "(none)").select(
-        F.col("shuffled").alias("feature"), (base - F.col("auc")).alias("auc_loss")
+    base = F.max(F.when(F.col("shuffled") == "(none)", F.col("auc"))).over(Window.partitionBy())  # one row per feature
+    return areas.select(F.col("shuffled").alias("feature"), (base - F.col("auc")).alias("auc_loss")).filter(
+        F.col("feature") != "(none)"
     )
 
 

@@ -7,24 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-VALUE_BUCKETS = 1024
+from wardframe.functions.ranks import value_buckets
+from wardframe.session import cut_lineage
 
 
 def box_statistics(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Exact quartiles and range per group, at any group size.
 
-    Equal values are counted together; running counts are taken inside value buckets and
-    shifted by the counts of lower buckets, so no group has to be sorted or held by one
-    task. A quartile is then read off at its (interpolated) position.
+    Equal values are counted together and stored once; running counts are taken inside value
+    buckets of about equal size and shifted by the counts of lower buckets, so no group has to
+    be sorted or held by one task. A quartile is then read off at its (interpolated) position.
     """
     v = F.col(value)
-    counted = values.filter(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    counted = cut_lineage(values.filter(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")))
     ranges = counted.groupBy(*keys).agg(F.min(v).alias("low"), F.max(v).alias("high"), F.sum("__n").alias("n"))
-    span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(F.lit(1.0))
-    placed = counted.join(ranges, list(keys)).withColumn(
-        "__bucket", F.floor((v - F.col("low")) / span * (VALUE_BUCKETS - 1))
-    )
+    placed = value_buckets(counted, keys, value).join(ranges, list(keys))
     below = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
     offsets = placed.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__c")).select(
         *keys, "__bucket", (F.sum("__c").over(below) - F.col("__c")).alias("__before")

@@ -395,10 +395,11 @@ def mortality_protocols(spark, sf):
 
 @query("perm_importance")
 def perm_importance(spark, sf):
-    real, _ = _outcome_tables(spark, sf)
-    model = models.fit_mortality(real, _VECTOR)
+    """Fitted on the training part of the patients, measured on the held-out part."""
+    split = cut_lineage(sampling.stratified_split(_outcome_tables(spark, sf)[0], "pid", "label"))
+    model = models.fit_mortality(split.filter(F.col("subset") == "train").drop("subset"), _VECTOR)
     groups = {f: [c for c in _VECTOR if c.rsplit("_", 1)[0] == f] for f in FEATURES}
-    return models.permutation_importance(model, real, _VECTOR, groups)
+    return models.permutation_importance(model, split.filter(F.col("subset") == "test"), _VECTOR, groups)
 
 
 # --- reports -------------------------------------------------------------------------------

@@ -47,8 +47,9 @@ def cells12(spark, sf):
 
 
 def filled_scaled(spark, sf):
-    """Interpolated cells scaled to (-1, 1) on the training patients."""
-    filled = impute.fill_linear(cells12(spark, sf))
+    """Interpolated cells scaled to (-1, 1) on the training patients; stored, as every use reads
+    them for the scaler and for itself."""
+    filled = cut_lineage(impute.fill_linear(cells12(spark, sf)))
     known = filled.withColumn("observed", F.col("value").isNotNull()).withColumn("value", F.col("imputed"))
     params = scaling.fit_cells(known.filter(F.col("pid") % 5 < 4))
     return scaling.scale_cells(known, params, ("value",), -1.0, 1.0).drop("imputed")
@@ -461,8 +462,8 @@ _KNN = {
     + " FROM amputated GROUP BY pid, step",
     "near": "\nUNION ALL ".join(
         f"""SELECT r.pid, r.step, '{f}' AS feature,
-            min_by({{'d': dist, 'v': d_value}}, {{'d': dist, 'id': donor}}, 5) AS best
-        FROM (SELECT r.pid, r.step, d."{f}" AS d_value, d.pid * 1000 + d.step AS donor,
+            min_by({{'d': dist, 'v': d_value}}, {{'d': dist, 'p': donor, 's': donor_step}}, 5) AS best
+        FROM (SELECT r.pid, r.step, d."{f}" AS d_value, d.pid AS donor, d.step AS donor_step,
                      round(({_KNN_DISTANCE}) * {len(FEATURES)} / ({_KNN_SHARED}), 12) AS dist
               FROM wide r JOIN wide d ON d."{f}" IS NOT NULL AND r."{f}" IS NULL AND ({_KNN_SHARED}) > 0) r
         GROUP BY r.pid, r.step"""
