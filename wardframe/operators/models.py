@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,7 +103,11 @@ def fit_mortality(rows: DataFrame, inputs: Sequence[str], trees: int = TREES, de
 
 
 def score_mortality(model: GBTClassificationModel, rows: DataFrame, inputs: Sequence[str]) -> DataFrame:
-    scored = model.transform(_vectors(rows, inputs))
+    return _scored(model, _vectors(rows, inputs))
+
+
+def _scored(model: GBTClassificationModel, vectors: DataFrame) -> DataFrame:
+    scored = model.transform(vectors)
     return scored.withColumn("score", vector_to_array("probability")[1]).drop("inputs", "rawPrediction", "probability")
 
 
@@ -136,17 +140,19 @@ def permutation_importance(
     ``rows`` should be held out from the fit. The other patient is found by one equi-join of two
     hash ranks, which is a permutation; all variants are then made from the joined row in one pass.
     """
-    own = cut_lineage(rows.dropna(subset=list(inputs)).select("pid", "label", *inputs))
+    values = F.array(*[F.col(c).cast("double") for c in inputs])
+    own = cut_lineage(rows.dropna(subset=list(inputs)).select("pid", "label", values.alias("own")))
     takers = exact_rank(own.withColumn("__k", hash_key(F.col("pid"), seed)), "__k", ("pid",), rank="__r", total=None)
     donors = exact_rank(own.withColumn("__k", hash_key(F.col("pid"), seed + 1)), "__k", ("pid",), rank="__r", total=None)
-    both = takers.join(donors.select("__r", *[F.col(c).alias(f"__{c}") for c in inputs]), "__r")
+    both = takers.join(donors.select("__r", F.col("own").alias("other")), "__r")
 
     def variant(name: str, columns: Sequence[str]) -> Column:
-        values = [F.col(f"__{c}" if c in columns else c).alias(c) for c in inputs]
-        return F.struct(F.lit(name).alias("shuffled"), *values)
+        mixed = F.array(*[F.col("other" if c in columns else "own")[i] for i, c in enumerate(inputs)])
+        return F.struct(F.lit(name).alias("shuffled"), mixed.alias("x"))
 
     variants = [variant("(none)", ()), *[variant(name, columns) for name, columns in groups.items()]]
-    scored = score_mortality(model, both.select("label", F.inline(F.array(*variants))), inputs)
+    rows = both.select("label", F.inline(F.array(*variants)))
+    scored = _scored(model, rows.select("label", "shuffled", array_to_vector("x").alias("inputs")))
     areas = curve_areas(curve_points(scored.select("label", "score", "shuffled"), ["shuffled"]), ["shuffled"])
     base = F.max(F.when(F.col("shuffled") == "(none)", F.col("auc"))).over(Window.partitionBy())  # one row per feature
     return areas.select(F.col("shuffled").alias("feature"), (base - F.col("auc")).alias("auc_loss")).filter(
