@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from wardframe.operators import alignment, metrics, models, regression_impute
+from wardframe.operators import alignment, metrics, models, regression_impute, sampling
 
 FEATURES = ("a", "b")
 
@@ -29,6 +29,34 @@ def test_forecaster_and_ensemble_learn_persistence(spark):
         assert score.cells == 120 and score.rmse < 0.01
 
 
+def test_ensemble_is_the_mean_of_models_fitted_one_by_one(spark):
+    rows = examples(spark).withColumn("y", F.col("y") + F.rand(5) * F.col("lag_2"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    train, test = rows.filter("pid < 30"), rows.filter("pid >= 30")
+    folds = sampling.assign_folds(train, 3, 2).collect()
+    each = []
+    for repeat in (1, 2):
+        for fold in range(3):
+            inside = [r.pid for r in folds if r.repeat == repeat and r.fold != fold]
+            model = models.fit_forecaster(train.filter(F.col("pid").isin(inside)), FEATURES)
+            scored = models.forecast(model, test, FEATURES).orderBy("pid", "feature", "step").collect()
+            each.append([r.yhat for r in scored])
+    got = models.fold_ensemble(train, test, FEATURES, k=3, repeats=2).orderBy("pid", "feature", "step").collect()
+    assert np.allclose([r.yhat for r in got], np.mean(each, axis=0), atol=1e-8)
+
+
+def test_ensemble_without_training_rows_predicts_nothing(spark):
+    rows = examples(spark, 5)
+    got = models.fold_ensemble(rows.filter("false"), rows, FEATURES, k=2, repeats=2).collect()
+    assert len(got) == 60 and all(r.yhat is None for r in got)
+
+
+def test_constant_inputs_get_no_weight():
+    x = np.column_stack([np.ones(8), np.full(8, 0.3), np.arange(8.0), np.arange(8.0) * 2 + 1])
+    weights, intercept = models.ridge_coefficients(x.T @ x, 0.0)
+    assert weights[0] == 0 and abs(weights[1] - 2) < 1e-9 and abs(intercept - 1) < 1e-9
+
+
 def test_protocols_and_importance_on_separable_labels(spark):
     rng = np.random.default_rng(4)
     rows = [(i, float(i % 2), float(i % 2) + float(rng.random()) / 4, float(rng.random())) for i in range(80)]

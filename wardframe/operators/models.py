@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,6 +21,8 @@ from wardframe.session import cut_lineage
 
 SEED = 422
 LEARNING_RATE = 0.003
+#: Weight of the squared coefficients (of standardised inputs) in the linear forecaster.
+RIDGE = 1e-4
 #: The defaults of the booster library.
 TREES, DEPTH = 20, 5
 
@@ -58,7 +62,7 @@ def _assembled(rows: DataFrame, features: Sequence[str], n_in: int, conditions:
 def fit_forecaster(rows: DataFrame, features: Sequence[str], n_in: int = 6, conditions: int = 10):
     """Global linear model fitted on observed targets."""
     train = rows.filter(F.col("observed") & F.col("y").isNotNull())
-    model = LinearRegression(featuresCol="inputs", labelCol="y", predictionCol="yhat", regParam=1e-4, solver="normal")
+    model = LinearRegression(featuresCol="inputs", labelCol="y", predictionCol="yhat", regParam=RIDGE, solver="normal")
     return model.fit(_assembled(train, features, n_in, conditions))
 
 
@@ -68,23 +72,73 @@ def forecast(model, rows: DataFrame, features: Sequence[str], n_in: int = 6, con
     return scored.select("pid", "step", "feature", "y", "yhat", "observed")
 
 
+def _fold_moments(slots: int, k: int):
+    """Sums of products of (1, inputs, target) per repeat and fold, added up within a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            z = np.column_stack([np.ones(len(batch)), np.stack(batch["x"].to_numpy()), batch["y"].to_numpy()])
+            folds = np.stack(batch["folds"].to_numpy())
+            for repeat in range(slots):
+                for fold in range(k):
+                    own = z[folds[:, repeat] == fold]
+                    sums[repeat, fold] = sums.get((repeat, fold), 0.0) + own.T @ own
+        rows = [(repeat, fold, moments.ravel()) for (repeat, fold), moments in sums.items()]
+        yield pd.DataFrame(rows, columns=["repeat", "fold", "moments"])
+
+    return run
+
+
+def ridge_coefficients(moments: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept from the sums of products of (1, inputs, target): the minimum that
+    ``LinearRegression`` finds, which penalises standardised inputs. Constant inputs get zero."""
+    mean = moments[0] / moments[0, 0]
+    spread = moments / moments[0, 0] - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(spread), 0.0))
+    moving = sd > 1e-12 * np.maximum(1.0, np.abs(mean))
+    used = np.flatnonzero(moving[1:-1]) + 1
+    weights = np.zeros(len(mean) - 2)
+    if moving[-1] and len(used):
+        scaled = spread[np.ix_(used, used)] / np.outer(sd[used], sd[used])
+        toward = spread[used, -1] / (sd[used] * sd[-1])
+        solved = np.linalg.lstsq(scaled + np.eye(len(used)) * (ridge / sd[-1]), toward, rcond=None)[0]
+        weights[used - 1] = solved * sd[-1] / sd[used]
+    return weights, float(mean[-1] - weights @ mean[1:-1])
+
+
 def fold_ensemble(
     train_rows: DataFrame, test_rows: DataFrame, features: Sequence[str], k: int = 5, repeats: int = 10, conditions: int = 10, n_in: int = 6
 ) -> DataFrame:
     """One model per fold of every repeat, fitted without its fold; test predictions are the
-    mean over all models, which for linear models is one model of the mean coefficients."""
-    folds = cut_lineage(assign_folds(train_rows, k, repeats))
-    coefficients, intercepts = [], []
-    for repeat in range(1, repeats + 1):
-        for fold in range(k):
-            inside = folds.filter((F.col("repeat") == repeat) & (F.col("fold") != fold)).select("pid")
-            model = fit_forecaster(train_rows.join(inside, "pid", "left_semi"), features, n_in, conditions)
-            coefficients.append(model.coefficients.toArray())
-            intercepts.append(model.intercept)
-    weights = F.array(*[F.lit(float(w)) for w in sum(coefficients) / len(coefficients)])
-    products = F.zip_with(vector_to_array("inputs"), weights, lambda x, w: x * w)
-    yhat = F.aggregate(products, F.lit(sum(intercepts) / len(intercepts)), lambda s, x: s + x)
+    mean over all models, which for linear models is one model of the mean coefficients.
+
+    One pass gives the sums of products of every fold; a model's sums are those of its repeat less
+    those of its fold. Only these sums (repeats x folds x inputs squared numbers) reach the driver.
+    Without observed training rows the prediction is NULL; a model whose training part is empty
+    (all patients in one fold) is left out of the mean.
+    """
+    folds = assign_folds(train_rows, k, repeats).groupBy("pid").agg(
+        F.array_sort(F.collect_list(F.struct("repeat", "fold")))["fold"].alias("folds")
+    )
+    seen = _assembled(train_rows.filter(F.col("observed") & F.col("y").isNotNull()), features, n_in, conditions)
+    cells = seen.join(folds, "pid").select(vector_to_array("inputs").alias("x"), "y", "folds")
+    partial = cells.mapInPandas(_fold_moments(repeats, k), "repeat int, fold int, moments array<double>")
+    sums = partial.select("repeat", "fold", F.posexplode("moments").alias("cell", "v")).groupBy("repeat", "fold", "cell").agg(F.sum("v").alias("v"))
+    width = len(_inputs(features, n_in, conditions)) + 2
+    moments = np.zeros((repeats, k, width * width))
+    for row in sums.collect():
+        moments[row["repeat"], row["fold"], row["cell"]] = row["v"]
+    without = (moments.sum(axis=1, keepdims=True) - moments).reshape(-1, width, width)
+    fitted = [ridge_coefficients(m) for m in without if m[0, 0] > 0.5]
     rows = _assembled(test_rows, features, n_in, conditions)
+    if not fitted:
+        return rows.select("pid", "step", "feature", "y", F.lit(None).cast("double").alias("yhat"), "observed")
+    weights = F.array(*[F.lit(float(w)) for w in sum(w for w, _ in fitted) / len(fitted)])
+    products = F.zip_with(vector_to_array("inputs"), weights, lambda x, w: x * w)
+    yhat = F.aggregate(products, F.lit(sum(b for _, b in fitted) / len(fitted)), lambda s, x: s + x)
     return rows.select("pid", "step", "feature", "y", yhat.alias("yhat"), "observed")
 
 
