@@ -9,11 +9,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardframe.operators import cohort as co
-from wardframe.operators import scaling
+from wardframe.operators import impute, metrics, scaling
 from wardframe.plans import series_sql as sq
 from wardframe.plans.inputs import source, spark_view
 from wardframe.plans.registry import query, with_views
-from wardframe.plans.series import FEATURES, filled_scaled, grid48, r6, series12
+from wardframe.plans.series import (
+    AMPUTATED,
+    FEATURES,
+    RATE,
+    amputated,
+    filled_scaled,
+    grid48,
+    mean_sql,
+    predictions,
+    r6,
+    series12,
+)
 from wardframe.plans.structured import IN_COHORT, STEMI, stemi
 from wardframe.session import scratch_path
 from wardframe.sources import readers, writers
@@ -74,3 +85,37 @@ def external_series(spark, sf):
     writers.export_csv(grid.orderBy("pid", "step").select(index, *FEATURES), f"{path}/samples")
     writers.export_csv(grid.select("pid").distinct().orderBy("pid").select(index, F.col("pid").alias("0")), f"{path}/pids")
     return r6(readers.read_external_series(spark, f"{path}/samples", f"{path}/pids", FEATURES, sq.STEPS), *FEATURES)
+
+
+@query("imputed_export", sq.series_ctes("cells", amputated=AMPUTATED, imputed=mean_sql("amputated")) + f"""
+    SELECT 'simple' AS method, {RATE} AS pct, pid, step, feature, round(imputed, 6) AS imputed FROM imputed""")
+def imputed_export(spark, sf):
+    path = scratch_path(spark, "imputed")
+    filled = impute.fill_mean(amputated(spark, sf)).select(
+        F.lit("simple").alias("method"), F.lit(RATE).alias("pct"), "pid", "step", "feature", "imputed"
+    )
+    writers.export_imputed(filled, path)
+    return r6(spark.read.parquet(path).select(filled.columns), "imputed")
+
+
+@query("vector_export", sq.series_ctes("scaled") + "SELECT pid, step, feature, round(v, 6) AS value FROM scaled")
+def vector_export(spark, sf):
+    path = scratch_path(spark, "vectors")
+    writers.export_vector(filled_scaled(spark, sf), path)
+    return r6(spark.read.parquet(path), "value")
+
+
+@query("summary_export", sq.series_ctes("predictions") + """
+    SELECT step, feature, round(avg(y), 6) AS real, round(avg(yhat), 6) AS predicted FROM predictions GROUP BY step, feature""")
+def summary_export(spark, sf):
+    path = scratch_path(spark, "summary")
+    writers.export_summary(r6(metrics.dimension_means(predictions(spark, sf)), "real", "predicted"), path)
+    return spark.read.schema("step int, feature string, real double, predicted double").json(path)
+
+
+@query("published_stays", with_views("diagnoses_icd", "icustays", cohort=STEMI) + f"""
+    SELECT first_careunit, count(*) AS stays FROM icustays WHERE {IN_COHORT} GROUP BY first_careunit""")
+def published_stays(spark, sf):
+    """A cohort published under a name and read back by SQL."""
+    writers.publish(co.icu_stays(spark_view(spark, sf, "icustays"), stemi(spark, sf)), "cohort_stays")
+    return spark.sql("SELECT first_careunit, count(*) AS stays FROM cohort_stays GROUP BY first_careunit")
