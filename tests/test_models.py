@@ -1,9 +1,11 @@
 """Queries without SQL: models, clipped regression, masked alignment, on small fixtures."""
 
 import numpy as np
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import functions as F
 
 from wardframe.operators import alignment, metrics, models, regression_impute, sampling
+from wardframe.sources import writers
 
 FEATURES = ("a", "b")
 
@@ -51,6 +53,15 @@ def test_ensemble_without_training_rows_predicts_nothing(spark):
     assert len(got) == 60 and all(r.yhat is None for r in got)
 
 
+def test_saved_model_predicts_the_same(spark, tmp_path):
+    rows = examples(spark, 12)
+    model = models.fit_forecaster(rows, FEATURES)
+    writers.save_model(model, f"{tmp_path}/model")
+    back = LinearRegressionModel.load(f"{tmp_path}/model")
+    one, two = (models.forecast(m, rows, FEATURES).orderBy("pid", "feature", "step").collect() for m in (model, back))
+    assert len(one) == 144 and one == two
+
+
 def test_constant_inputs_get_no_weight():
     x = np.column_stack([np.ones(8), np.full(8, 0.3), np.arange(8.0), np.arange(8.0) * 2 + 1])
     weights, intercept = models.ridge_coefficients(x.T @ x, 0.0)

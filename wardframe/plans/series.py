@@ -240,6 +240,19 @@ def match_summary(spark, sf):
     return cd.match_summary(spark_view(spark, sf, "observations"), spark_view(spark, sf, "demographics_repeated"))
 
 
+_TWICE = "SELECT * FROM demographics UNION ALL SELECT * FROM demographics WHERE PID % 3 = 0"
+
+
+@query("matched_series", sq.series_ctes("series", demographics=sql_view("demographics"), twice=_TWICE) + f"""
+    SELECT pid, step, {_r6_sql(FEATURES)} FROM series
+    WHERE pid IN (SELECT PID FROM twice GROUP BY PID HAVING count(*) = 1)""")
+def matched_series(spark, sf):
+    """Series of the patients with one demographics row, when every third patient has two."""
+    demo = spark_view(spark, sf, "demographics")
+    _, series = cd.matched_series(series12(spark, sf), demo.unionByName(demo.filter(F.col("PID") % 3 == 0)))
+    return r6(series, *FEATURES)
+
+
 def examples(spark, sf):
     cells = filled_scaled(spark, sf)
     series = gr.to_wide(cells, FEATURES)
