@@ -152,6 +152,21 @@ def varied(words, changes, rng):
     return " ".join(out)
 
 
+def test_near_copies_link_at_the_bound_only(spark):
+    """Pairs of Jaccard 0.81 and of 0.75: the first are linked, the second are not."""
+    rng = np.random.default_rng(8)
+    docs = []
+    for i in range(100):
+        words = [f"w{rng.integers(1e9)}" for _ in range(400)]
+        for change in (0, 42 if i % 2 else 57):  # of 396 shingles; the end of the text is replaced
+            docs.append((len(docs), " ".join(words[:400 - change] + [f"n{rng.integers(1e9)}" for _ in range(change)])))
+    shingles = [set(near_copies.shingle_hashes(t).tolist()) for _, t in docs]
+    alike = {i: len(shingles[i] & shingles[i + 1]) / len(shingles[i] | shingles[i + 1]) for i in range(0, len(docs), 2)}
+    assert {a >= 0.8 for a in alike.values()} == {True, False} and min(alike.values()) > 0.74
+    got = {r.doc_id: r.group_id for r in near_copies.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: got[i + 1] == i for i in alike} == {i: a >= 0.8 for i, a in alike.items()}
+
+
 def test_near_copies_of_four_fifths_are_grouped(spark):
     rng = np.random.default_rng(4)
     docs, family = [], {}
