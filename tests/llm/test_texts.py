@@ -214,6 +214,16 @@ def test_main_text_defined_cases(spark):
     assert html_text.main_text("<div>" * 30_000 + "x") == "x"
 
 
+def test_main_text_behind_many_open_elements():
+    prose = PROSE.replace("&amp;", "&")
+    shapes = "<path d='M0 0'/>" * 500
+    for before in (f"<svg>{shapes}</svg>", f"<svg/><math/><svg><title/>{shapes}</svg>", "<nav>" + "<b>" * 500 + "</nav>", "<form>" + "<i>x" * 300 + "</form>"):
+        assert html_text.main_text(f"<body>{before}<p>{PROSE}</p><p>{PROSE}</p>") == f"{prose}\n\n{prose}"
+    flat = "<ul><li>" + "<b>" * 60 + "one<li>two</ul>"
+    assert [b.text for b in html_text.blocks(flat)] == ["one", "two"]
+    assert html_text._attributes("<a href=x/>", 2)[2] is False and html_text._attributes("<a b='x' />", 2)[2] is True
+
+
 def test_second_pass_inherits_from_the_nearest_decided():
     labels = ["short", "good", "short", "bad", "near", "good", "short", "short", "bad"]
     assert html_text.second_pass(labels, False) == ["good", "good", "good", "bad", "good", "good", "good", "bad", "bad"]

@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -54,7 +56,12 @@ SELF_CLOSING = {
     "option": {"option"},
 }
 #: Elements that such an implied end does not reach across.
-FENCES = {"li": {"ul", "ol", "menu"}, "p": BLOCKS - {"p"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+FENCES = {
+    "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"},
+}
+#: Elements of drawings and formulas, where ``/>`` ends an element, and those inside that hold HTML again.
+FOREIGN = ("svg", "math")
+FOREIGN_HTML = ("foreignobject", "annotation-xml")
 BOILER = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-bar|widget\w*|nav\w*|menu\w*|breadcrumb\w*|"
     r"header|masthead|footer|cookie\w*|consent|gdpr|notice\w*|newsletter|subscri\w*|signup|popup|modal|overlay|share|sharing|social|"
@@ -85,13 +92,14 @@ class Block:
     text: str = ""
 
 
-def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
-    """Attributes from ``at`` and the position after the tag's end (the page's end if it never ends)."""
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """Attributes from ``at``, the position after the tag's end (the page's end if it never ends), whether that is ``/>``."""
     found: dict[str, str] = {}
     n = len(page)
+    last = at  # a slash before this belongs to the name or to a value without quotes
     while at < n:
         if page[at] == ">":
-            return found, at + 1
+            return found, at + 1, at > last and page[at - 1] == "/"
         match = _ATTRIBUTE.match(page, at)
         if match is None or match.end() == at:
             at += 1
@@ -99,10 +107,10 @@ def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
         name = match[1].lower()
         if name not in found:
             found[name] = next((g for g in match.groups()[1:] if g is not None), "")
-        at = match.end()
+        at = last = match.end()
         while at < n and page[at] in " \t\n\r\f/":
             at += 1
-    return found, n
+    return found, n, False
 
 
 def _marks(tag: str, attributes: dict[str, str], outside: int, article: int) -> tuple[int, int]:
@@ -137,6 +145,8 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks in order; text inside skipped elements is gone already."""
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = []  # tag, levels of outside and article
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where each tag stands in the stack
+    open_blocks: list[int] = []  # where block elements stand
     skipping = links = 0
     now = Block()
     at, n = 0, len(page)
@@ -154,10 +164,17 @@ def blocks(page: str) -> list[Block]:
             if links:
                 now.linked += len(text.strip())
 
+    def nearest(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     def close(index: int) -> None:
         nonlocal skipping, links
         gone = [t for t, _, _ in stack[index:]]
         del stack[index:]
+        for t in gone:
+            places[t].pop()
+        while open_blocks and open_blocks[-1] >= index:
+            open_blocks.pop()
         skipping -= sum(t in SKIP for t in gone)
         links -= gone.count("a")
         if any(t in BLOCKS for t in gone):
@@ -185,14 +202,14 @@ def blocks(page: str) -> list[Block]:
             end = page.find(">", at)
             at = n if end < 0 else end + 1
             tag = match[2].lower()
-            index = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1) if stack[i][0] == tag), -1)
+            index = nearest((tag,))
             if index >= 0:
                 close(index)
             elif tag in BLOCKS:
                 begin()
         else:
             tag = match[2].lower()
-            attributes, at = _attributes(page, at)
+            attributes, at, ended_here = _attributes(page, at)
             if tag == "br":
                 add(" ")
                 continue
@@ -200,17 +217,19 @@ def blocks(page: str) -> list[Block]:
                 if tag in BLOCKS:
                     begin()
                 continue
+            if ended_here and (tag in FOREIGN or nearest(FOREIGN) > nearest(FOREIGN_HTML)):
+                continue
             ended = SELF_CLOSING.get(tag)
-            if ended or tag in BLOCKS:
-                fence = FENCES.get(tag, set()) if ended else set()
-                for i in range(len(stack) - 1, max(-1, len(stack) - 50), -1):
-                    open_tag = stack[i][0]
-                    if open_tag in (ended or {"p"}):
-                        close(i)
-                        break
-                    if open_tag in fence or (not ended and open_tag in BLOCKS):
-                        break
+            if ended and tag != "p":
+                index = nearest(ended)
+                if index > nearest(FENCES[tag]):
+                    close(index)
+            elif tag in BLOCKS and open_blocks and stack[open_blocks[-1]][0] == "p":
+                close(open_blocks[-1])
             _, outside, article = stack[-1] if stack else ("", 0, 0)
+            places[tag].append(len(stack))
+            if tag in BLOCKS:
+                open_blocks.append(len(stack))
             stack.append((tag, *_marks(tag, attributes, outside, article)))
             skipping += tag in SKIP
             links += tag == "a"
