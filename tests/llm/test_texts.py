@@ -224,6 +224,24 @@ def test_main_text_behind_many_open_elements():
     assert html_text._attributes("<a href=x/>", 2)[2] is False and html_text._attributes("<a b='x' />", 2)[2] is True
 
 
+def test_main_text_article_is_a_prior_only():
+    prose = PROSE.replace("&amp;", "&")
+    long = f"{PROSE} {PROSE}"
+    body = f"<p>{long}</p>" * 3
+    want = "\n\n".join([f"{prose} {prose}"] * 3)
+    card = "<article class=card><p><a href=x>Buy a teaser of something else, now cheaper in all colours and sizes</a></p></article>"
+    plain = "<article class=card><p>Teaser: something else, cheaper now, all colours, all sizes, free delivery</p></article>"
+    for teaser in (card, plain):
+        for page in (f"<main>{body}{teaser}</main>", f"<div>{body}</div>{teaser}", f"{teaser}<div>{body}</div>"):
+            assert html_text.main_text(PAGE % page).replace(f"\n\n{html_text.blocks(teaser)[0].text}", "").endswith(want)
+    # Stop words count inside as well; a language without listed stop words is kept by length.
+    links = "<p><a href=x>more of this and that, all of it here</a></p>"
+    tags = "<p>Tags: alpha beta gamma delta epsilon zeta eta theta iota kappa lambda</p>"
+    assert html_text.main_text(f"<article>{body}{links}{tags}{links}</article>") == want
+    russian = "Это первый абзац статьи, в котором довольно много слов и нет ни одной ссылки на другие страницы."
+    assert html_text.main_text(f"<article>{links}<p>{russian}</p>{links}</article>") == russian
+
+
 def test_second_pass_inherits_from_the_nearest_decided():
     labels = ["short", "good", "short", "bad", "near", "good", "short", "short", "bad"]
     assert html_text.second_pass(labels, False) == ["good", "good", "good", "bad", "good", "good", "good", "bad", "bad"]

@@ -6,9 +6,13 @@ everything inside scripts, styles and the like are taken out first. First pass:
 block is good, bad, near-good or short from its length, its share of stop words and its share of
 link text. Second pass: ambiguous blocks (near-good, short) take the label of the nearest decided
 neighbours on both sides if these agree; if they differ, near-good is good and a short block follows
-the nearer one. If the page names its article (``article``, else ``main``, or that role), only
-blocks inside it count; there a block needs no stop words to be good, for it stands where the page
-puts its text, and an ambiguous one is bad only between two bad ones.
+the nearer one.
+
+The page's own word for its article (``article``, else ``main``, or that role) is believed if most of
+the text that these rules call good stands inside. Then the first pass is done again: inside, near-good
+is good, long text with few stop words near-good, and an ambiguous block is bad only between two bad
+ones; outside, good is near-good, near-good short and short bad. If no block inside has the stop words
+of the four languages, they say nothing about the page, and its long blocks without links are good.
 
 Broken markup is expected: tags that are never closed, cut-off entities, a page that ends inside a
 tag. Everything is linear in the length of the page.
@@ -247,25 +251,44 @@ def blocks(page: str) -> list[Block]:
     return [b for b in out if b.text]
 
 
-def first_pass(block: Block, named: bool) -> str:
-    """good, bad, near or short. ``named``: the block stands in the page's named article."""
-    length = len(block.text)
-    share = min(1.0, block.linked / length)
+def _stop_share(block: Block) -> float:
+    words = block.text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+
+
+def _link_share(block: Block) -> float:
+    return min(1.0, block.linked / len(block.text))
+
+
+def first_pass(block: Block) -> str:
+    """good, bad, near or short."""
+    share = _link_share(block)
     if share > LINKED:
         return "bad"
-    if length < SHORT:
-        return "bad" if share > LINKED_PROSE and not named else "short"
-    if named:
-        return "good"
-    words = block.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    if len(block.text) < SHORT:
+        return "bad" if share > LINKED_PROSE else "short"
+    stops = _stop_share(block)
     if stops >= STOP_HIGH:
-        return "good" if length > LONG else "near"
+        return "good" if len(block.text) > LONG else "near"
     if stops >= STOP_LOW:
         return "near"
     return "short" if share <= LINKED_PROSE else "bad"
 
 
+def moved(block: Block, label: str, inside: bool, told: bool) -> str:
+    """The label with the article as a prior. ``told``: stop words tell something about this page."""
+    if not inside:
+        return {"good": "near", "near": "short"}.get(label, "bad")
+    share = _link_share(block)
+    if share > LINKED:
+        return "bad"
+    if len(block.text) < SHORT:
+        return "short"
+    if label in ("good", "near") or not told:
+        return "good"
+    return "near" if share <= LINKED_PROSE else "bad"
+
+
 def _nearest(labels: list[str]) -> list[tuple[str, int] | None]:
     """For each block the decided block before it: label and distance."""
     out: list[tuple[str, int] | None] = []
@@ -277,12 +300,16 @@ def _nearest(labels: list[str]) -> list[tuple[str, int] | None]:
     return out
 
 
-def second_pass(labels: list[str], named: bool) -> list[str]:
-    """Final labels: good or bad. Without any decided block the ambiguous ones are all there is: good."""
+def second_pass(labels: list[str], named: bool | list[bool]) -> list[str]:
+    """Final labels: good or bad. Without any decided block the ambiguous ones are all there is: good.
+
+    ``named``: the block (or every block) stands in the page's article.
+    """
+    inside = [named] * len(labels) if isinstance(named, bool) else named
     before = _nearest(labels)
     after = _nearest(labels[::-1])[::-1]
     out = []
-    for label, a, b in zip(labels, before, after, strict=True):
+    for label, a, b, named in zip(labels, before, after, inside, strict=True):
         sides = {x[0] for x in (a, b) if x}
         if label in ("good", "bad"):
             out.append(label)
@@ -295,14 +322,28 @@ def second_pass(labels: list[str], named: bool) -> list[str]:
     return out
 
 
+def _region(found: list[Block], labels: list[str]) -> list[bool] | None:
+    """Which blocks stand in the page's article, if most of the good text does (else None)."""
+    good = [len(b.text) if label == "good" else 0 for b, label in zip(found, second_pass(labels, False), strict=True)]
+    if not any(good):
+        good = [len(b.text) if _link_share(b) <= LINKED else 0 for b in found]
+    for level in (2, 1):
+        inside = [b.article >= level for b in found]
+        if 2 * sum(n for n, at in zip(good, inside, strict=True) if at) > sum(good):
+            return inside
+    return None
+
+
 def main_text(page: str | None) -> str:
     """The kept blocks, joined by an empty line."""
     found = [b for b in blocks(page or "") if not b.outside]
-    level = max((b.article for b in found), default=0)
-    if level:
-        found = [b for b in found if b.article == level]
-    labels = second_pass([first_pass(b, level > 0) for b in found], level > 0)
-    return "\n\n".join(b.text for b, label in zip(found, labels, strict=True) if label == "good")
+    labels = [first_pass(b) for b in found]
+    inside = _region(found, labels)
+    if inside:
+        told = any(at and len(b.text) >= SHORT and _stop_share(b) >= STOP_LOW for b, at in zip(found, inside, strict=True))
+        labels = [moved(b, label, at, told) for b, label, at in zip(found, labels, inside, strict=True)]
+    final = second_pass(labels, inside or False)
+    return "\n\n".join(b.text for b, label in zip(found, final, strict=True) if label == "good")
 
 
 def _kernel():
