@@ -167,6 +167,22 @@ def test_near_copies_link_at_the_bound_only(spark):
     assert {i: got[i + 1] == i for i in alike} == {i: a >= 0.8 for i, a in alike.items()}
 
 
+def test_near_copies_within_a_template_crowd(spark):
+    """Pages of one template (pairwise 0.67) with 150 pairs just above the bound: all these, nothing else."""
+    rng = np.random.default_rng(12)
+    template = [f"t{i}" for i in range(240)]
+    docs = []
+    for pair in range(150):
+        shared = [f"s{pair}x{i}" for i in range(28)]
+        docs += [(2 * pair + i, " ".join(template + shared + [f"p{rng.integers(1e12)}" for _ in range(32)])) for i in range(2)]
+    shingles = [set(near_copies.shingle_hashes(t).tolist()) for _, t in docs]
+    brute = {(i, j) for i in range(300) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])}
+    assert brute == {(2 * i + 1, 2 * i) for i in range(150)}
+    got = {r.doc_id: r.group_id for r in near_copies.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    split = sum(got[i] != j for i, j in brute)
+    assert split == 0 and all(got[j] == j for _, j in brute)
+
+
 def test_near_copies_of_four_fifths_are_grouped(spark):
     rng = np.random.default_rng(4)
     docs, family = [], {}
