@@ -332,3 +332,10 @@ def test_pipeline_on_empty_and_odd_documents(spark):
             assert stage(spark, given, SF).count() >= 0
     once = corpus_pipeline.dedup_stage(spark, docs, SF)
     assert sorted(r.doc_id for r in once.collect()) == [1, 3, 4]
+
+
+def test_dedup_keeps_different_texts_under_one_id(spark):
+    rows = [(1, "a text of its own that nobody else has"), (5, "the text of a copy that is here twice"), (5, "a unique text under a shared id, also kept"), (5, "a unique text under a shared id, also kept"), (2, "The text of a copy that is here twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted((r.doc_id, r.text) for r in corpus_pipeline.dedup_stage(spark, docs, SF).collect())
+    assert left == [(1, rows[0][1]), (2, rows[4][1]), (5, rows[2][1])]
