@@ -152,3 +152,17 @@ def test_series_csv_and_stream(spark, tmp_path):
     stream = charted.chart_stream(spark, str(tmp_path / "in"))
     charted.write_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).collect() == events.chart_events(raw, None).collect()
+
+
+def test_timed_grid_has_all_eight_methods(spark):
+    from wardframe.plans import series
+
+    rng = np.random.default_rng(3)
+    rows = [(p, t, f, float(rng.random())) for p in range(6) for t in range(1, 4) for f in series.FEATURES]
+    cells = spark.createDataFrame(rows, "pid long, step int, feature string, value double")
+    log = impute.timed_grid(sampling.experiment_cells(cells, series.FEATURES, 1, (20,)), series.all_methods(), [0], [20]).collect()
+    print({r.method: (round(r.rmse, 3), round(r.seconds, 2)) for r in log})
+    assert {r.method for r in log} == {
+        "simple", "interpolate_linear", "random", "expectation_maximization", "moving_window", "knn", "iterative", "mice"
+    }
+    assert len(log) == 8 and len({r.cells for r in log}) == 1 and all(r.seconds > 0 and r.rmse < 2 for r in log)

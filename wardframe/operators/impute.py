@@ -8,6 +8,7 @@ result is in ``imputed``.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wardframe.functions.ranks import exact_rank, hash_key, normal_draw
 from wardframe.operators.sampling import cell_key
+from wardframe.session import cut_lineage, scratch_path
 
 EM_LOOPS = 5
 
@@ -151,3 +153,31 @@ def score_grid(
         scored = masked_rmse(fill(experiment, groups), groups).withColumn("method", F.lit(name))
         out = scored if out is None else out.unionByName(scored)
     return out
+
+
+def timed_grid(
+    experiment: DataFrame,
+    methods: dict[str, Callable[[DataFrame, Sequence[str]], DataFrame]],
+    reps: Sequence[int],
+    rates: Sequence[int],
+) -> DataFrame:
+    """``(method, rep, pct, rmse, cells, seconds)``: every method on every (rep, pct), each run by itself and timed.
+
+    The seconds are wall time of imputing and scoring, as the driver sees it. The log has one row
+    a run, so it is bounded by the experiment and not by the data.
+    """
+    spark = experiment.sparkSession
+    path = scratch_path(spark, "experiment")
+    experiment.write.partitionBy("rep", "pct").parquet(path)
+    stored = spark.read.parquet(path)
+    log = []
+    for rep in reps:
+        for pct in rates:
+            part = cut_lineage(stored.filter((F.col("rep") == rep) & (F.col("pct") == pct)))
+            for name, fill in methods.items():
+                began = time.monotonic()
+                row = masked_rmse(fill(part, ("rep", "pct")), ("rep", "pct")).first()
+                seconds = time.monotonic() - began
+                if row is not None:
+                    log.append((name, rep, pct, row["rmse"], row["cells"], seconds))
+    return spark.createDataFrame(log, "method string, rep int, pct int, rmse double, cells long, seconds double")

@@ -19,6 +19,7 @@ from wardframe.plans.series import (
     filled_scaled,
     predictions,
     r6,
+    experiment_log,
     score_grid,
 )
 from wardframe.session import cut_lineage
@@ -427,6 +428,13 @@ def method_time_band(spark, sf):
     return r6(reports.minutes_by_rate(log), "mean", "band_low", "band_high")
 
 
+@query("experiment_time_band")
+def experiment_time_band(spark, sf):
+    """Minutes by method and rate, from the seconds of the experiment's own log."""
+    log = experiment_log(spark, sf).select(F.col("method").alias("metodo"), F.col("pct").alias("porcentaje"), F.col("seconds").alias("tiempo"))
+    return r6(reports.minutes_by_rate(log), "mean", "band_low", "band_high")
+
+
 _PROTOCOLS = ("TRTR", "TSTR", "TRTS")
 
 

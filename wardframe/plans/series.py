@@ -510,3 +510,28 @@ def impute_iterative(spark, sf):
 @query("impute_mice")
 def impute_mice(spark, sf):
     return _chained(spark, sf, regression_impute.fill_mice)
+
+
+def all_methods():
+    """All eight imputers on long rows of one (rep, pct), by method name."""
+    def chained(fill):
+        def run(cells, groups):
+            filled = gr.to_long(fill(gr.to_wide(cells, FEATURES), FEATURES), FEATURES, "imputed")
+            return cells.join(filled, ["pid", "step", "feature"])
+
+        return run
+
+    return {
+        **impute.column_methods(FEATURES), "knn": lambda cells, groups: knn_impute.fill_knn(cells, FEATURES),
+        "iterative": chained(regression_impute.fill_iterative), "mice": chained(regression_impute.fill_mice),
+    }
+
+
+def experiment_log(spark, sf, reps=range(REPS), rates=RATES):
+    experiment = sampling.experiment_cells(unit_cells(spark, sf), FEATURES, REPS, RATES)
+    return impute.timed_grid(experiment, all_methods(), reps, rates)
+
+
+@query("impute_experiment_log")
+def impute_experiment_log(spark, sf):
+    return r6(experiment_log(spark, sf), "rmse")
