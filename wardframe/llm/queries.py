@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardframe.llm import bpe, dialogue, forest, html_text, language, packing, quadratic, risk_rules, simhash, spelling, token_counts, warc
+from wardframe.llm import bpe, dialogue, forest, html_text, language, packing, quadratic, recursive_bpe, risk_rules, simhash, spelling, token_counts, warc
 from wardframe.llm.dialogue_sql import DIALOGUE_SQL
 from wardframe.llm.spelling_sql import SPELLING_SQL
 from wardframe.llm.sql import RULES_SQL, WARC_SQL
@@ -80,6 +80,13 @@ def op10_quadratic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quadratic.THRESHOLD).cast("int"))
 
 
+def op11_recursive_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return recursive_bpe.bpe_digests(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
+
+
 def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return dialogue.with_empty(conversations, dialogue.repair_digests(dialogue.damage(conversations)))
@@ -93,7 +100,7 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_forest_search, op2_token_counts, op3_segment_tree_bpe, op4_language, op5_best_fit_packing, op6_simhash, op7_warc,
-        op8_main_text, op9_risk_rules, op10_quadratic, op12_dialogue_repair, op13_spelling,
+        op8_main_text, op9_risk_rules, op10_quadratic, op11_recursive_bpe, op12_dialogue_repair, op13_spelling,
     )
 }
 ORACLES: dict[str, str] = {"op7_warc": WARC_SQL, "op9_risk_rules": RULES_SQL, "op12_dialogue_repair": DIALOGUE_SQL, "op13_spelling": SPELLING_SQL}
