@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Hash keys lie in [0, KEY_RANGE): twelve hexadecimal digits of a digest.
 KEY_RANGE = 2**48
+#: Buckets of the key range when the n smallest of a group are sought.
+SELECT_BUCKETS = 4096
 
 
 def hash_key(ident: Column, seed: Column | int = 0) -> Column:
@@ -78,6 +80,38 @@ def exact_rank(
     return out.drop(bucket, "__local", "__before", "__total")
 
 
+def among_first(
+    df: DataFrame, key: str, ties: Sequence[str], groups: Sequence[str], wanted: Column, name: str, where: Column | None = None,
+) -> DataFrame:
+    """Adds ``name``: is the row among the ``wanted`` smallest by ``(key, ties)`` of its group?
+
+    No row is shuffled for it. Counts per group and bucket of the key range show which bucket holds the
+    last wanted row; only that bucket's rows are sorted, and every row is compared with the one found.
+    ``wanted`` may use the group columns and ``__total``, the group's rows; rows outside ``where`` are
+    neither counted nor chosen. ``key`` must spread over [0, KEY_RANGE), as ``hash_key`` does. The
+    table of last rows has one row a group: groups are meant to be few (features x repetitions).
+    """
+    by = list(groups) or ["__all"]
+    rows = df if groups else df.withColumn("__all", F.lit(0))
+    bucket = F.least(F.floor(F.col(key) / F.lit(KEY_RANGE / SELECT_BUCKETS)), F.lit(SELECT_BUCKETS - 1)).alias("__bucket")
+    counted = rows if where is None else rows.where(where)
+    counted = counted.select(*by, bucket, F.col(key).alias("__key_of"), *[F.col(t).alias(f"__tie_{t}") for t in ties])
+    before, whole = Window.partitionBy(*by).orderBy("__bucket"), Window.partitionBy(*by)
+    sizes = counted.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.withColumns({
+        "__upto": F.sum("__n").over(before.rowsBetween(Window.unboundedPreceding, 0)), "__total": F.sum("__n").over(whole)
+    }).withColumn("__wanted", wanted.cast("long"))
+    holding = sizes.where("__upto - __n < __wanted AND (__wanted <= __upto OR (__upto = __total AND __wanted > __total))")
+    holding = holding.select(*by, "__bucket", F.least(F.col("__wanted"), F.col("__total")).alias("__wanted"), (F.col("__upto") - F.col("__n")).alias("__before"))
+    inside = counted.join(F.broadcast(holding), [*by, "__bucket"])
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("__key_of", *[f"__tie_{t}" for t in ties]))
+    at = F.struct("__key_of", *[f"__tie_{t}" for t in ties]).alias("__last")
+    last = inside.withColumn("__place", place).where("__place = __wanted - __before").select(*by, at)
+    mine = F.struct(F.col(key).alias("__key_of"), *[F.col(t).alias(f"__tie_{t}") for t in ties])
+    chosen = F.coalesce(mine <= F.col("__last"), F.lit(False))
+    return rows.join(F.broadcast(last), by, "left").withColumn(name, chosen if where is None else where & chosen).drop("__last", "__all")
+
+
 def value_buckets(df: DataFrame, keys: Sequence[str], value: str, name: str = "__bucket", buckets: int | None = None) -> DataFrame:
     """Adds a bucket number that rises with ``value`` within ``keys`` (equal values share one).
 

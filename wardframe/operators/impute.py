@@ -181,3 +181,29 @@ def timed_grid(
                 if row is not None:
                     log.append((name, rep, pct, row["rmse"], row["cells"], seconds))
     return spark.createDataFrame(log, "method string, rep int, pct int, rmse double, cells long, seconds double")
+
+
+def grouped_log(
+    experiment: DataFrame,
+    methods: dict[str, Callable[[DataFrame, Sequence[str]], DataFrame]],
+    groups: Sequence[str] = ("rep", "pct"),
+) -> DataFrame:
+    """``(method, rep, pct, rmse, cells, seconds)``: each method imputes the whole experiment in one run.
+
+    The seconds of a method's run, as the driver sees them, are shared out over its (rep, pct) by
+    their masked cells. The log has one row for each method and (rep, pct); it is bounded by the
+    experiment, not by the data.
+    """
+    spark = experiment.sparkSession
+    path = scratch_path(spark, "experiment")
+    experiment.write.parquet(path)
+    stored = spark.read.parquet(path)
+    log = []
+    for name, fill in methods.items():
+        began = time.monotonic()
+        rows = masked_rmse(fill(stored, groups), groups).collect()
+        seconds = time.monotonic() - began
+        total = sum(r["cells"] for r in rows)
+        log += [(name, *[r[g] for g in groups], r["rmse"], r["cells"], seconds * r["cells"] / total) for r in rows]
+    keys = ", ".join(f"{g} {experiment.schema[g].dataType.simpleString()}" for g in groups)
+    return spark.createDataFrame(log, f"method string, {keys}, rmse double, cells long, seconds double")

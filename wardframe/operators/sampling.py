@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardframe.functions.ranks import exact_rank, hash_key
+from wardframe.functions.ranks import among_first, exact_rank, hash_key
 
 
 def cell_key(features: Sequence[str], seed: Column | int = 0) -> Column:
@@ -28,19 +28,10 @@ def amputate(
     Adds ``truth`` (the original) and ``masked``; ``value`` becomes NULL where masked.
     """
     share = F.lit(pct) if isinstance(pct, (int, float)) else pct
-    keyed = cells.select(
-        "*", cell_key(features, seed).alias("__key"), F.col("value").alias("truth"),
-        F.col("value").isNull().alias("__empty"),
-    )
-    ranked = exact_rank(
-        keyed, "__key", ("pid", "step"), (*groups, "feature", "__empty"), rank="__rank", total="__n"
-    )
-    masked = ~F.col("__empty") & (F.col("__rank") <= F.round(F.col("__n") * share / 100))
-    return (
-        ranked.withColumn("masked", masked)
-        .withColumn("value", F.when(~F.col("masked"), F.col("value")))
-        .drop("__key", "__empty", "__rank", "__n")
-    )
+    keyed = cells.select("*", cell_key(features, seed).alias("__key"), F.col("value").alias("truth"))
+    wanted = F.round(F.col("__total") * share / 100)
+    hidden = among_first(keyed, "__key", ("pid", "step"), (*groups, "feature"), wanted, "masked", F.col("value").isNotNull())
+    return hidden.withColumn("value", F.when(~F.col("masked"), F.col("value"))).drop("__key")
 
 
 def experiment_cells(
@@ -81,9 +72,9 @@ def assign_folds(ids: DataFrame, k: int = 5, repeats: int = 10) -> DataFrame:
 def stratified_split(rows: DataFrame, ident: str, label: str, test: float = 0.2, seed: int = 1) -> DataFrame:
     """Adds ``subset``: within each label the share ``test`` is held out."""
     keyed = rows.withColumn("__key", hash_key(F.col(ident), seed))
-    ranked = exact_rank(keyed, "__key", (ident,), (label,), rank="__rank", total="__n")
-    held_out = F.col("__rank") > F.floor(F.col("__n") * (1 - test) + 1e-9)
-    return ranked.withColumn("subset", F.when(held_out, "test").otherwise("train")).drop("__key", "__rank", "__n")
+    kept = F.floor(F.col("__total") * (1 - test) + 1e-9)
+    split = among_first(keyed, "__key", (ident,), (label,), kept, "__kept")
+    return split.withColumn("subset", F.when(F.col("__kept"), "train").otherwise("test")).drop("__key", "__kept")
 
 
 def shuffled(ids: DataFrame, seed: int = 1) -> DataFrame:

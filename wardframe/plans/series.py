@@ -14,7 +14,7 @@ from wardframe.operators import impute, knn_impute, relations, regression_impute
 from wardframe.plans import series_sql as sq
 from wardframe.plans.inputs import EVENT_TYPES, source, spark_view, sql_view
 from wardframe.plans.registry import query, with_views
-from wardframe.session import cut_lineage
+from wardframe.session import cut_lineage, scratch_path
 
 FEATURES = EVENT_TYPES
 RATE = 20
@@ -527,9 +527,36 @@ def all_methods():
     }
 
 
-def experiment_log(spark, sf, reps=range(REPS), rates=RATES):
-    experiment = sampling.experiment_cells(unit_cells(spark, sf), FEATURES, REPS, RATES)
-    return impute.timed_grid(experiment, all_methods(), reps, rates)
+def grouped_methods():
+    """All eight imputers on long rows of the whole experiment, by method name; groups are (rep, pct)."""
+    def chained(fill):
+        def run(cells, groups):
+            keys = [*groups, "pid", "step"]
+            wide = gr.to_wide(cells, FEATURES, keys=keys)
+            filled = gr.to_long(fill(wide, FEATURES, groups).select(*keys, *FEATURES), FEATURES, "imputed", keys)
+            return cells.join(filled, [*keys, "feature"])
+
+        return run
+
+    return {
+        **impute.column_methods(FEATURES), "knn": lambda cells, groups: knn_impute.fill_knn(cells, FEATURES, groups=groups),
+        "iterative": chained(regression_impute.fill_iterative_groups), "mice": chained(regression_impute.fill_mice_groups),
+    }
+
+
+#: Where a session has stored the log of a data folder: its readers share one run.
+_LOGS: dict[tuple[str, str], str] = {}
+
+
+def experiment_log(spark, sf):
+    """The log of the whole experiment, run once per session and folder and kept below the shared folder."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _LOGS:
+        experiment = sampling.experiment_cells(unit_cells(spark, sf), FEATURES, REPS, RATES)
+        path = scratch_path(spark, "experiment-log")
+        impute.grouped_log(experiment, grouped_methods()).coalesce(1).write.parquet(path)
+        _LOGS[at] = path
+    return spark.read.parquet(_LOGS[at])
 
 
 @query("impute_experiment_log")
