@@ -89,3 +89,25 @@ def test_lenient_timestamp(spark, day, clock, want):
 def test_text_max_is_lexicographic(spark):
     df = spark.createDataFrame([("9", "10", None)], "a string, b string, c string")
     assert df.select(tx.text_max(F.col("a"), F.col("b"), F.col("c"))).first()[0] == "9"
+
+
+def test_fact_table_reads_the_notes_once(spark):
+    from wardframe.plans import note_queries
+
+    notes = note_queries._notes(spark, "/root/testdata/sf0.001")
+    plan = no.note_events(notes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") == 1
+    once = no.note_events(notes).collect()
+    parts = [f(notes) for f in (no.echo_vitals, no.infusion_rates, no.medication_doses, no.discharge_biomarkers, no.flowsheet_biomarkers, no.nutrition_labs)]
+    assert set(once) == {r for p in parts for r in p.collect()} and len(once) == len(set(once))
+
+
+def test_spread_only_deals_tables_of_few_splits(spark, tmp_path):
+    from wardframe.sources import readers
+
+    spark.range(100).withColumn("k", F.col("id") % 7).coalesce(1).write.parquet(str(tmp_path / "one"))
+    few = spark.read.parquet(str(tmp_path / "one"))
+    dealt = readers.spread(few, "id")
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, few.collect()))
+    assert readers.spread(dealt) is dealt

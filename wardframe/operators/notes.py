@@ -1,13 +1,14 @@
 """Structured events from free-text notes.
 
 Every extractor is one narrow projection over the notes: all patterns of a category are
-tried while a note is in hand, candidates are exploded to rows, and no shuffle happens
-before the single duplicate elimination of the fact table. The notes are read once for
-each extractor instead of once for each pattern.
+tried while a note is in hand, findings of one common form are exploded to rows, and no shuffle
+happens before the single duplicate elimination of the fact table. The fact table reads the
+notes once for all extractors.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,10 +17,11 @@ from pyspark.sql import functions as F
 from wardframe.functions import text as tx
 from wardframe.functions import times as tm
 from wardframe.operators.cohort import of_cohort
-from wardframe.operators.relations import union_all, union_distinct
+from wardframe.operators.relations import union_distinct
 from wardframe.sources import note_catalogue as cat
 
 EVENT_IDS = ("subject_id", "hadm_id", "chartdate")
+_INFUSION_CATEGORIES = (cat.GENERAL, cat.CONSULT)
 
 
 def cohort_notes(notes: DataFrame, cohort: DataFrame | None) -> DataFrame:
@@ -46,17 +48,46 @@ def _as_events(df: DataFrame, time: Column, item: Column, value: Column, unit: C
     ).filter(F.col("VALUE") > 0)
 
 
-def _candidate(itemid: int, unit: str, value: Column, **extra: Column) -> Column:
-    fields = [F.lit(itemid).alias("itemid"), F.lit(unit).alias("unit"), value.alias("value")]
-    return F.struct(*fields, *[c.alias(n) for n, c in extra.items()])
+#: What every extractor finds, so that all can leave one projection through one generator. ``number`` or
+#: its text ``digits``; with a ``day`` the time is read from day and clock, else the clock is put on the chart date.
+_FOUND = "struct<itemid: int, unit: string, number: double, digits: string, dated: boolean, day: string, clock: string, late: int>"
+_NOTHING = f"array<{_FOUND}>"
+
+
+def _found(
+    itemid: int, unit: Column | str, number: Column | None = None, digits: Column | None = None,
+    day: Column | None = None, clock: Column | None = None, late: int = 0, dated: bool = False,
+) -> Column:
+    text = F.lit(None).cast("string")
+    return F.struct(
+        F.lit(itemid).alias("itemid"), (F.lit(unit) if isinstance(unit, str) else unit).alias("unit"),
+        (F.lit(None).cast("double") if number is None else number).alias("number"), (text if digits is None else digits).alias("digits"),
+        F.lit(dated).alias("dated"), (text if day is None else day).alias("day"), (text if clock is None else clock).alias("clock"),
+        F.lit(late).alias("late"),
+    )
+
+
+def _found_events(notes: DataFrame, *found: Column, clocked: bool, dated: bool) -> DataFrame:
+    """Events of the findings of a note; ``clocked`` and ``dated`` tell which kinds can occur."""
+    rows = notes.select(*EVENT_IDS, F.inline(F.concat(*found) if len(found) > 1 else found[0]))
+    chart = F.col("chartdate")
+    value = F.coalesce("number", tx.to_number(F.col("digits"))) if dated else F.col("number")
+    time = tm.clock_on_day(chart, F.col("clock"))
+    if dated:
+        date = tx.drop_chars(F.col("day"), "[]*")
+        stamp = F.when(F.length(date) > 7, tm.clinical_timestamp(date, F.col("clock")))
+        fallback = F.when(F.col("late") == 2, chart + tm.hours(2)).otherwise(chart)
+        read = F.coalesce(stamp, fallback)
+        time = F.when(F.col("dated"), read).otherwise(time) if clocked else read
+    return _as_events(rows, time, F.col("itemid"), value, F.col("unit"))
 
 
 # --- echo reports -----------------------------------------------------------------------
 
 
-def echo_vitals(notes: DataFrame) -> DataFrame:
-    """Height, weight, blood pressure and heart rate of echo reports."""
+def _echo_found() -> Column:
     text = F.col("text")
+    clock = tx.first_or_blank(text, cat.ECHO_TIME, needs="Date/Time: ")
 
     def number(finding: cat.Finding) -> Column:
         return tx.to_number(tx.first_or_blank(text, finding.pattern, needs=finding.needs))
@@ -71,49 +102,40 @@ def echo_vitals(notes: DataFrame) -> DataFrame:
         (cat.ECHO_DIASTOLIC, number(cat.ECHO_DIASTOLIC)),
         (cat.ECHO_HEART_RATE, number(cat.ECHO_HEART_RATE)),
     )
-    found = F.array(*[_candidate(f.itemid, f.unit, v) for f, v in values])
-    rows = _of_categories(notes, cat.ECHO).filter(F.col("hadm_id").isNotNull()).select(
-        *EVENT_IDS,
-        tx.first_or_blank(text, cat.ECHO_TIME, needs="Date/Time: ").alias("clock"),
-        F.inline(found),
-    )
-    return _as_events(
-        rows, tm.clock_on_day(F.col("chartdate"), F.col("clock")),
-        F.col("itemid"), F.col("value"), F.col("unit"),
-    )
+    return F.array(*[_found(f.itemid, f.unit, v, clock=clock) for f, v in values])
 
 
-# --- infusions --------------------------------------------------------------------------
+def echo_vitals(notes: DataFrame) -> DataFrame:
+    """Height, weight, blood pressure and heart rate of echo reports."""
+    own = _of_categories(notes, cat.ECHO).filter(F.col("hadm_id").isNotNull())
+    return _found_events(own, _echo_found(), clocked=True, dated=False)
 
 
-def infusion_rates(notes: DataFrame) -> DataFrame:
-    """Insulin, heparin and amiodarone rates; ``1,050 units/hour`` style.
+# --- infusions --------------------------------------------------------------------------
 
-    Where the unit is strict a rate in another unit is dropped, elsewhere it keeps its
-    value and loses its unit.
-    """
+
+def _infusions_found() -> Column:
     text = F.col("text")
+    clock = tx.first_or_blank(text, cat.FLOWSHEET_TIME_RAW, needs="Flowsheet Data as of")
 
     def candidate(infusion: cat.Infusion) -> Column:
         line = tx.first_or_blank(text, rf"{infusion.label} - (.*?)\n", needs=f"{infusion.label} - ")
         amount = tx.to_number(F.replace(tx.split_token(line, " ", 1), F.lit(","), F.lit("")))
         fits = F.lower(tx.split_token(line, " ", 2)) == infusion.rate_unit
         here = F.col("category") == infusion.category
-        return F.struct(
-            F.lit(infusion.itemid).alias("itemid"),
-            F.when(fits, F.lit(infusion.unit)).alias("unit"),
-            F.when(here & fits if infusion.strict_unit else here, amount).alias("value"),
-        )
+        value = F.when(here & fits if infusion.strict_unit else here, amount)
+        return _found(infusion.itemid, F.when(fits, F.lit(infusion.unit)), value, clock=clock)
 
-    rows = _of_categories(notes, cat.GENERAL, cat.CONSULT).select(
-        *EVENT_IDS,
-        tx.first_or_blank(text, cat.FLOWSHEET_TIME_RAW, needs="Flowsheet Data as of").alias("clock"),
-        F.inline(F.array(*[candidate(i) for i in cat.INFUSIONS])),
-    )
-    return _as_events(
-        rows, tm.clock_on_day(F.col("chartdate"), F.col("clock")),
-        F.col("itemid"), F.col("value"), F.col("unit"),
-    )
+    return F.array(*[candidate(i) for i in cat.INFUSIONS])
+
+
+def infusion_rates(notes: DataFrame) -> DataFrame:
+    """Insulin, heparin and amiodarone rates; ``1,050 units/hour`` style.
+
+    Where the unit is strict a rate in another unit is dropped, elsewhere it keeps its
+    value and loses its unit.
+    """
+    return _found_events(_of_categories(notes, *_INFUSION_CATEGORIES), _infusions_found(), clocked=True, dated=False)
 
 
 # --- medications ------------------------------------------------------------------------
@@ -133,35 +155,24 @@ def _clock(low: Column, drug: cat.Medication) -> Column:
     return F.try_element_at(F.filter(digits, lambda d: F.length(d) == 4), F.lit(1))
 
 
+def _medications_found(drugs: Sequence[cat.Medication]) -> Column:
+    low = F.col("low")
+    return F.array_compact(F.array(*[
+        F.when(
+            F.greatest(*[F.contains(low, F.lit(n)) for n in d.names]) if len(d.names) > 1 else F.contains(low, F.lit(d.names[0])),
+            _found(d.itemid, "mg", _dose(low, d), clock=_clock(low, d)),
+        )
+        for d in drugs
+    ]))
+
+
 def medication_doses(notes: DataFrame, drugs: Sequence[cat.Medication] = cat.MEDICATIONS) -> DataFrame:
     """Dose per drug and note: the first pattern in priority order that finds a number.
 
     A drug whose name is not in the text costs one substring test per pattern.
     """
-    low = F.lower(F.col("text"))
-    mentions = F.array_compact(
-        F.array(*[
-            F.when(
-                F.greatest(*[F.contains("low", F.lit(n)) for n in d.names]) if len(d.names) > 1
-                else F.contains("low", F.lit(d.names[0])),
-                F.struct(
-                    F.lit(d.itemid).alias("itemid"),
-                    _dose(F.col("low"), d).alias("value"),
-                    _clock(F.col("low"), d).alias("clock"),
-                ),
-            )
-            for d in drugs
-        ])
-    )
-    rows = (
-        _of_categories(notes, *cat.MEDICATION_CATEGORIES)
-        .select(*EVENT_IDS, low.alias("low"))
-        .select(*EVENT_IDS, F.inline(mentions))
-    )
-    return _as_events(
-        rows, tm.clock_on_day(F.col("chartdate"), F.col("clock")),
-        F.col("itemid"), F.col("value"), F.lit("mg"),
-    )
+    own = _of_categories(notes, *cat.MEDICATION_CATEGORIES).select(*EVENT_IDS, F.lower("text").alias("low"))
+    return _found_events(own, _medications_found(drugs), clocked=True, dated=False)
 
 
 # --- biomarkers in flowsheet notes -------------------------------------------------------
@@ -173,18 +184,15 @@ def _normalised(notes: DataFrame, *categories: str) -> DataFrame:
     )
 
 
-def _dated_time() -> Column:
-    """Date and clock of the reading when the date is complete, else the chart date."""
-    date = tx.drop_chars(F.col("day"), "[]*")
-    stamp = F.when(F.length(date) > 7, tm.clinical_timestamp(date, F.col("clock")))
-    return F.coalesce(stamp, F.col("chartdate"))
+def _flowsheet_dates() -> dict[str, Column]:
+    note = F.col("note")
+    return {
+        "days": tx.all_matches(note, cat.FLOWSHEET_DATE, needs="flowsheet data"),
+        "clocks": tx.all_matches(note, cat.FLOWSHEET_TIME, needs="flowsheet data"),
+    }
 
 
-def flowsheet_biomarkers(
-    notes: DataFrame, categories: Sequence[str] = cat.FLOWSHEET_CATEGORIES
-) -> DataFrame:
-    """Troponin, CK-MB, CK and MB: the i-th value goes with the i-th flowsheet date and
-    clock of the note (missing partners are NULL)."""
+def _flowsheet_found() -> list[Column]:
     note = F.col("note")
 
     def readings(finding: cat.Finding) -> Column:
@@ -194,131 +202,99 @@ def flowsheet_biomarkers(
                 F.array().cast("array<string>")
             )
         zipped = F.arrays_zip(values.alias("value"), F.col("days").alias("day"), F.col("clocks").alias("clock"))
-        return F.transform(
-            zipped,
-            lambda z: F.struct(
-                F.lit(finding.itemid).alias("itemid"), F.lit(finding.unit).alias("unit"),
-                z["value"].alias("value"), z["day"].alias("day"), z["clock"].alias("clock"),
-            ),
-        )
+        return F.transform(zipped, lambda z: _found(
+            finding.itemid, finding.unit, digits=tx.drop_chars(z["value"], ":/"), day=z["day"], clock=z["clock"], dated=True
+        ))
 
-    dated = _normalised(notes, *categories).select(
-        "*",
-        tx.all_matches(note, cat.FLOWSHEET_DATE, needs="flowsheet data").alias("days"),
-        tx.all_matches(note, cat.FLOWSHEET_TIME, needs="flowsheet data").alias("clocks"),
-    )
-    rows = dated.select(
-        *EVENT_IDS, F.inline(F.concat(*[readings(f) for f in cat.FLOWSHEET_BIOMARKERS]))
-    )
-    return _as_events(
-        rows, _dated_time(), F.col("itemid"),
-        tx.to_number(tx.drop_chars(F.col("value"), ":/")), F.col("unit"),
-    )
+    return [readings(f) for f in cat.FLOWSHEET_BIOMARKERS]
+
+
+def flowsheet_biomarkers(
+    notes: DataFrame, categories: Sequence[str] = cat.FLOWSHEET_CATEGORIES
+) -> DataFrame:
+    """Troponin, CK-MB, CK and MB: the i-th value goes with the i-th flowsheet date and
+    clock of the note (missing partners are NULL)."""
+    own = _normalised(notes, *categories).withColumns(_flowsheet_dates())
+    return _found_events(own, *_flowsheet_found(), clocked=False, dated=True)
 
 
 # --- discharge summaries ----------------------------------------------------------------
 
 
-def discharge_biomarkers(notes: DataFrame) -> DataFrame:
-    """CK-MB, CK, troponin and MB index of discharge summaries.
+def _discharge_dates() -> dict[str, Column]:
+    note = F.col("note")
+    return {
+        "near": tx.all_matches(note, cat.PERTINENT_DATE, needs="pertinent results"),
+        "later": tx.all_matches(note, cat.PERTINENT_DATE_LATER, needs="pertinent results"),
+    }
 
-    Fragments hold date, clock and value of one reading; the value, date and clock are
-    then read from the short fragment. The looser patterns take the date after
-    "pertinent results" in lock step, the bare MB index takes chart date + 2 h.
-    """
+
+def _discharge_found() -> list[Column]:
     note = F.col("note")
-    base = _normalised(notes, cat.DISCHARGE)
+
+    def digits(value: Column) -> Column:
+        return F.replace(value, F.lit(":"), F.lit(""))
 
     def fragments(kind: cat.DischargeFragment) -> Column:
-        return F.transform(
-            tx.all_matches(note, kind.fragment, needs=kind.needs),
-            lambda m: F.struct(
-                F.lit(kind.itemid).alias("itemid"),
-                F.lit(kind.unit).alias("unit"),
-                tx.first_or_blank(m, kind.value).alias("value"),
-                tx.first_or_blank(m, r"^([\[\]0-9*-]+)").alias("day"),
-                (
-                    tx.first_or_blank(m, r"^[\[\]0-9*-]+ ?([0-9:]+ ?[ap]?)")
-                    if kind.use_clock else F.lit(None).cast("string")
-                ).alias("clock"),
-                F.lit(kind.fallback_hours).alias("late"),
-            ),
-        )
+        return F.transform(tx.all_matches(note, kind.fragment, needs=kind.needs), lambda m: _found(
+            kind.itemid, kind.unit, digits=digits(tx.first_or_blank(m, kind.value)),
+            day=tx.first_or_blank(m, r"^([\[\]0-9*-]+)"),
+            clock=tx.first_or_blank(m, r"^[\[\]0-9*-]+ ?([0-9:]+ ?[ap]?)") if kind.use_clock else None,
+            late=kind.fallback_hours, dated=True,
+        ))
 
     def lockstep(finding: cat.Finding) -> Column:
         zipped = F.arrays_zip(
             tx.all_matches(note, finding.pattern, needs=finding.needs).alias("value"),
             F.col("near").alias("near"), F.col("later").alias("later"),
         )
-        return F.transform(
-            zipped,
-            lambda z: F.struct(
-                F.lit(finding.itemid).alias("itemid"), F.lit(finding.unit).alias("unit"),
-                z["value"].alias("value"),
-                F.coalesce(
-                    F.when(F.length(tx.drop_chars(z["near"], "[]*")) > 7, z["near"]), z["later"]
-                ).alias("day"),
-                F.lit(None).cast("string").alias("clock"),
-                F.lit(0).alias("late"),
-            ),
-        )
+        return F.transform(zipped, lambda z: _found(
+            finding.itemid, finding.unit, digits=digits(z["value"]), dated=True,
+            day=F.coalesce(F.when(F.length(tx.drop_chars(z["near"], "[]*")) > 7, z["near"]), z["later"]),
+        ))
 
     bare = F.transform(
         tx.all_matches(note, cat.DISCHARGE_MB.pattern, needs=cat.DISCHARGE_MB.needs),
-        lambda m: F.struct(
-            F.lit(cat.DISCHARGE_MB.itemid).alias("itemid"), F.lit(cat.DISCHARGE_MB.unit).alias("unit"),
-            m.alias("value"), F.lit(None).cast("string").alias("day"),
-            F.lit(None).cast("string").alias("clock"), F.lit(2).alias("late"),
-        ),
-    )
-    dated = base.select(
-        *EVENT_IDS, "note",
-        tx.all_matches(note, cat.PERTINENT_DATE, needs="pertinent results").alias("near"),
-        tx.all_matches(note, cat.PERTINENT_DATE_LATER, needs="pertinent results").alias("later"),
-    )
-    found = [fragments(k) for k in cat.DISCHARGE_FRAGMENTS]
-    found += [lockstep(f) for f in cat.DISCHARGE_LOCKSTEP]
-    rows = dated.select(*EVENT_IDS, F.inline(F.concat(*found, bare)))
-    date = tx.drop_chars(F.col("day"), "[]*")
-    stamp = F.when(F.length(date) > 7, tm.clinical_timestamp(date, F.col("clock")))
-    fallback = F.when(F.col("late") == 2, F.col("chartdate") + tm.hours(2)).otherwise(F.col("chartdate"))
-    return _as_events(
-        rows, F.coalesce(stamp, fallback), F.col("itemid"),
-        tx.to_number(F.replace("value", F.lit(":"), F.lit(""))), F.col("unit"),
+        lambda m: _found(cat.DISCHARGE_MB.itemid, cat.DISCHARGE_MB.unit, digits=digits(m), late=2, dated=True),
     )
+    return [*[fragments(k) for k in cat.DISCHARGE_FRAGMENTS], *[lockstep(f) for f in cat.DISCHARGE_LOCKSTEP], bare]
+
+
+def discharge_biomarkers(notes: DataFrame) -> DataFrame:
+    """CK-MB, CK, troponin and MB index of discharge summaries.
+
+    Fragments hold date, clock and value of one reading; the value, date and clock are
+    then read from the short fragment. The looser patterns take the date after
+    "pertinent results" in lock step, the bare MB index takes chart date + 2 h.
+    """
+    own = _normalised(notes, cat.DISCHARGE).withColumns(_discharge_dates())
+    return _found_events(own, *_discharge_found(), clocked=False, dated=True)
 
 
 # --- nutrition notes --------------------------------------------------------------------
 
 
-def nutrition_labs(notes: DataFrame) -> DataFrame:
-    """Laboratory values quoted as "name value unit date clock"; duplicates are kept."""
+def _nutrition_found() -> list[Column]:
     note = F.col("note")
 
     def readings(lab: cat.NutritionLab) -> Column:
-        return F.transform(
-            tx.all_matches(note, lab.pattern, needs=lab.literal),
-            lambda m: F.struct(
-                F.lit(lab.itemid).alias("itemid"),
-                F.lit(lab.unit).alias("fixed_unit"),
-                F.substring(m, F.lit(len(lab.literal) + 1), F.length(m)).alias("rest"),
-            ),
-        )
+        def reading(m: Column) -> Column:
+            rest = F.substring(m, F.lit(len(lab.literal) + 1), F.length(m))
+            unit = F.nullif(tx.first_or_blank(rest, r"^ ?[0-9:]+(?:.[0-9:]+)? ?([a-z:/%]+)"), F.lit(""))
+            return _found(
+                lab.itemid, F.coalesce(F.lit(lab.unit), unit), digits=tx.first_or_blank(rest, r"^ ?([0-9]+(?:\.[0-9]+)?)"),
+                day=tx.first_or_blank(rest, r"([\[*]*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[*\]]*)"),
+                clock=tx.first_or_blank(rest, r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[*\]]* ?([0-9:]+ ?[ap]?)"), dated=True,
+            )
 
-    found = F.concat(*[readings(lab) for lab in cat.NUTRITION_LABS])
-    rows = _normalised(notes, cat.NUTRITION).select(*EVENT_IDS, F.inline(found))
-    rest = F.col("rest")
-    value = tx.first_or_blank(rest, r"^ ?([0-9]+(?:\.[0-9]+)?)")
-    unit = tx.first_or_blank(rest, r"^ ?[0-9:]+(?:.[0-9:]+)? ?([a-z:/%]+)")
-    rows = rows.select(
-        *EVENT_IDS, "itemid", value.alias("value"),
-        F.coalesce("fixed_unit", F.nullif(unit, F.lit(""))).alias("unit"),
-        tx.first_or_blank(rest, r"([\[*]*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[*\]]*)").alias("day"),
-        tx.first_or_blank(rest, r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[*\]]* ?([0-9:]+ ?[ap]?)").alias("clock"),
-    )
-    return _as_events(
-        rows, _dated_time(), F.col("itemid"), F.col("value").try_cast("double"), F.col("unit")
-    )
+        return F.transform(tx.all_matches(note, lab.pattern, needs=lab.literal), reading)
+
+    return [readings(lab) for lab in cat.NUTRITION_LABS]
+
+
+def nutrition_labs(notes: DataFrame) -> DataFrame:
+    """Laboratory values quoted as "name value unit date clock"; duplicates are kept."""
+    return _found_events(_normalised(notes, cat.NUTRITION), *_nutrition_found(), clocked=False, dated=True)
 
 
 # --- troponin variants ------------------------------------------------------------------
@@ -424,13 +400,44 @@ def troponin_all(notes: DataFrame) -> DataFrame:
 # --- fact table and survey --------------------------------------------------------------
 
 
+@functools.lru_cache(maxsize=1)
+def _fact_columns(application: str) -> tuple[dict[str, Column], dict[str, Column], list[Column]]:
+    """Columns of the fact table's projection: texts, dates, findings. Several hundred expressions,
+    therefore made once for an application."""
+    category = F.col("category")
+
+    def only(categories: Sequence[str], column: Column) -> Column:
+        return F.when(category.isin(*categories), column)
+
+    def findings(categories: Sequence[str], *found: Column, where: Column | None = None) -> Column:
+        here = category.isin(*categories) if where is None else category.isin(*categories) & where
+        return F.when(here, F.concat(*found) if len(found) > 1 else found[0]).otherwise(F.array().cast(_NOTHING))
+
+    normal = (*cat.FLOWSHEET_CATEGORIES, cat.DISCHARGE, cat.NUTRITION)
+    texts = {"low": only(cat.MEDICATION_CATEGORIES, F.lower("text")), "note": only(normal, tx.normalise_note(F.col("text")))}
+    dates = {n: only(cat.FLOWSHEET_CATEGORIES, c) for n, c in _flowsheet_dates().items()}
+    dates |= {n: only((cat.DISCHARGE,), c) for n, c in _discharge_dates().items()}
+    found = [
+        findings((cat.ECHO,), _echo_found(), where=F.col("hadm_id").isNotNull()),
+        findings(_INFUSION_CATEGORIES, _infusions_found()),
+        findings(cat.MEDICATION_CATEGORIES, _medications_found(cat.MEDICATIONS)),
+        findings(cat.FLOWSHEET_CATEGORIES, *_flowsheet_found()),
+        findings((cat.DISCHARGE,), *_discharge_found()),
+        findings((cat.NUTRITION,), *_nutrition_found()),
+    ]
+    return texts, dates, found
+
+
 def note_events(notes: DataFrame, cohort: DataFrame | None = None) -> DataFrame:
-    """All structured note events; duplicates are removed once, after the union."""
-    own = of_cohort(notes, cohort)
-    return union_all(
-        echo_vitals(own), infusion_rates(own), medication_doses(own), discharge_biomarkers(own),
-        flowsheet_biomarkers(own), nutrition_labs(own),
-    ).distinct()
+    """All structured note events from one scan of the notes.
+
+    The category of a note decides which texts are prepared and which patterns are tried; all findings
+    leave through one generator. Duplicates are removed once.
+    """
+    texts, dates, found = _fact_columns(notes.sparkSession.sparkContext.applicationId)
+    read = (*cat.MEDICATION_CATEGORIES, *cat.FLOWSHEET_CATEGORIES, cat.ECHO, cat.DISCHARGE, cat.NUTRITION)
+    own = _of_categories(of_cohort(notes, cohort), *dict.fromkeys(read)).select(*EVENT_IDS, "category", "text")
+    return _found_events(own.withColumns(texts).withColumns(dates), *found, clocked=True, dated=True).distinct()
 
 
 def pattern_survey(notes: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from wardframe.plans.inputs import source, spark_view, sql_view
 from wardframe.plans.registry import listed, query, with_views
 from wardframe.plans.structured import IN_COHORT, STEMI, stemi
 from wardframe.sources import note_catalogue as cat
-from wardframe.sources import writers
+from wardframe.sources import readers, writers
 
 # --- SQL building blocks -----------------------------------------------------------------
 
@@ -81,7 +81,7 @@ def _union(parts: list[str], kind: str = "UNION ALL") -> str:
 
 
 def _notes(spark, sf):
-    return spark_view(spark, sf, "noteevents")
+    return readers.spread(spark_view(spark, sf, "noteevents"), "hadm_id")
 
 
 # --- text functions ----------------------------------------------------------------------

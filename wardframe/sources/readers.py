@@ -23,6 +23,17 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet")
     return reader.format(fmt).load(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deals a scan over the session's cores if it is stored in fewer splits than those.
+
+    For heavy work on texts that came as few files: one split is one task. A table of many splits
+    stays as it is, so large inputs are never shuffled for it. ``df`` is a scan with projections
+    and filters (a plan with joins would be run to be counted).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def read_series(
     spark: SparkSession, path: str, features: tuple[str, ...], kind: str = "double", saved_index: bool = True
 ) -> DataFrame:
