@@ -63,6 +63,7 @@ def test_one_round_in_closed_form(spark):
 def test_rounds_equal_a_plain_grower(spark, depth, min_child, monkeypatch):
     monkeypatch.setattr(boosting, "STORE_ROUNDS", 2)
     monkeypatch.setattr(boosting, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(boosting, "TASK_BLOCKS", 4 if depth > 1 else 1000)
     x, y = table(1)
     model = boosting.fit_boosters(frame(spark, x, y).repartition(3), INPUTS, rounds=5, depth=depth, rate=0.4, min_child=min_child)["m"]
     weight = np.where(y > 0, (len(y) - y.sum()) / y.sum(), 1.0)

@@ -30,6 +30,8 @@ from wardframe.session import cut_lineage
 ROUNDS, DEPTH, BINS = 100, 6, 64
 L2, GAMMA, MIN_CHILD = 1.0, 0.0, 1.0
 BLOCK_ROWS = 8192
+#: Blocks that one task reads at least; a table of no more than these is one task, which needs no shuffle.
+TASK_BLOCKS = 16
 #: Rounds after which the margins of all rows are stored anew.
 STORE_ROUNDS = 20
 _BLOCK = "model string, codes binary, label binary, weight binary, margin binary"
@@ -177,6 +179,13 @@ def _splits(width: int, l2: float, gamma: float, min_child: float):
     return run
 
 
+def _chained(first, second):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return second(first(batches))
+
+    return run
+
+
 def _with_margins(recent: dict[str, list[Tree]], width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -215,16 +224,23 @@ def fit_boosters(
     width = len(inputs)
     chosen = own.where(F.col("model").isin(*live))
     blocks = cut_lineage(chosen.mapInPandas(_packed(live, weights, inputs), _BLOCK))
+    tasks = -(-blocks.count() // TASK_BLOCKS)
+    if tasks < blocks.rdd.getNumPartitions():
+        blocks = cut_lineage(blocks.coalesce(tasks))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     recent: dict[str, list[Tree]] = {m: [] for m in live}
     for turn in range(rounds):
         growing = {m: Tree(depth) for m in live}
         trees = dict(growing)
         for level in range(depth + 1):
-            sums = blocks.mapInPandas(_histograms(recent, growing, level, width), "model string, node int, sums binary")
-            dealt = sums.repartition(min(parts, 2**level * len(growing)), "model", "node")
+            add, split = _histograms(recent, growing, level, width), _splits(width, l2, gamma, min_child)
+            if tasks == 1:
+                found = blocks.mapInPandas(_chained(add, split), _SPLIT)
+            else:
+                sums = blocks.mapInPandas(add, "model string, node int, sums binary")
+                found = sums.repartition(min(parts, 2**level * len(growing)), "model", "node").mapInPandas(split, _SPLIT)
             open_models = set()
-            for s in dealt.mapInPandas(_splits(width, l2, gamma, min_child), _SPLIT).collect():
+            for s in found.collect():
                 tree, node = trees[s["model"]], s["node"]
                 tree.value[node] = -rate * s["g"] / (s["h"] + l2)
                 if s["input"] < 0 or level == depth:
@@ -257,6 +273,27 @@ def score(booster: Booster, rows: DataFrame, name: str = "score") -> DataFrame:
     return rows.withColumn(name, F.pandas_udf(run, "double")(F.struct(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(booster.inputs)])))
 
 
+def score_models(boosters: dict[str, Booster], rows: DataFrame, name: str = "score") -> DataFrame:
+    """Adds the probability of label 1 by the booster that the row's ``model`` names; NULL without one."""
+    shared = rows.sparkSession.sparkContext.broadcast(boosters)
+    inputs = list(dict.fromkeys(c for b in boosters.values() for c in b.inputs))
+
+    def run(models: pd.Series, values: pd.DataFrame) -> pd.Series:
+        out = pd.Series(np.nan, index=models.index)
+        for model, at in models.groupby(models).groups.items():
+            booster = shared.value.get(model)
+            if booster is not None:
+                own = values.loc[at].to_numpy(dtype=float)[:, [inputs.index(c) for c in booster.inputs]]
+                out.loc[at] = _sigmoid(booster.margins(own))
+        return out.astype(object).where(out.notna(), None)
+
+    run.__annotations__ = {"models": pd.Series, "values": pd.DataFrame, "return": pd.Series}
+    if not inputs:
+        return rows.withColumn(name, F.lit(None).cast("double"))
+    cells = F.struct(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(inputs)])
+    return rows.withColumn(name, F.pandas_udf(run, "double")(F.col("model").cast("string"), cells))
+
+
 def trees_table(spark: SparkSession, booster: Booster) -> DataFrame:
     """The model as rows: one per node in use, with the threshold as a value (NULL at leaves)."""
     rows = []

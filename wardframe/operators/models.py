@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardframe.functions.ranks import exact_rank, hash_key
+from wardframe.operators import boosting
 from wardframe.operators.classify import balanced_weights, curve_areas, curve_points, report
+from wardframe.operators.relations import union_all
 from wardframe.operators.sampling import assign_folds, stratified_split
 from wardframe.session import cut_lineage
 
@@ -186,6 +188,30 @@ def protocol_matrix(
     return report(reduce(lambda a, b: a.unionByName(b), scored), ["protocol"])
 
 
+def newton_protocols(
+    real: DataFrame, synthetic: DataFrame, inputs: Sequence[str], keys: Sequence[str] = (), rounds: int = boosting.ROUNDS,
+    depth: int = boosting.DEPTH, rate: float = LEARNING_RATE,
+) -> DataFrame:
+    """The protocol matrix by Newton-boosted trees, for each value of ``keys`` (a cohort, say) by itself.
+
+    The models of all keys and both tables grow in the same passes; all tests are scored in one.
+    """
+    group = F.concat_ws("/", *keys, F.lit("")) if keys else F.lit("")
+    parts = {}
+    for name, rows in (("R", real), ("S", synthetic)):
+        stratum = F.concat_ws("/", *keys, F.col("label").cast("string"))
+        own = rows.select(*keys, "pid", "label", *inputs).withColumn("stratum", stratum)
+        parts[name] = cut_lineage(stratified_split(own, "pid", "stratum").drop("stratum"))
+    train = [rows.filter(F.col("subset") == "train").withColumn("model", F.concat(group, F.lit(name))) for name, rows in parts.items()]
+    boosters = boosting.fit_boosters(union_all(*train), inputs, rounds, depth, rate)
+    tests = [
+        parts[test].filter(F.col("subset") == "test").withColumns({"model": F.concat(group, F.lit(fit)), "protocol": F.lit(f"T{fit}T{test}")})
+        for fit in "RS" for test in "RS"
+    ]
+    scored = boosting.score_models(boosters, union_all(*tests)).select(*keys, "protocol", "label", "score")
+    return report(cut_lineage(scored), [*keys, "protocol"])
+
+
 def permutation_importance(
     model: GBTClassificationModel, rows: DataFrame, inputs: Sequence[str], groups: dict[str, Sequence[str]], seed: int = 7
 ) -> DataFrame:

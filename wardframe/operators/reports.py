@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardframe.functions.ranks import value_buckets
+from wardframe.functions.ranks import hash_key, value_buckets
+from wardframe.operators.sampling import bootstrap_weights
 from wardframe.session import cut_lineage
 
 
@@ -51,6 +52,33 @@ def box_statistics(values: DataFrame, keys: Sequence[str], value: str) -> DataFr
     return found.select(*keys, "n", "low", *quartiles, "high")
 
 
+def box_whiskers(values: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:
+    """Box statistics with whiskers: the furthest values within ``reach`` quartile ranges of the box, and
+    how many lie beyond. The quartiles (one row a group) meet the values in a second, combining pass."""
+    boxes = cut_lineage(box_statistics(values, keys, value))
+    v = F.col(value)
+    span = reach * (F.col("q3") - F.col("q1"))
+    inside = (v >= F.col("q1") - span) & (v <= F.col("q3") + span)
+    ends = values.filter(v.isNotNull()).join(boxes.select(*keys, "q1", "q3"), list(keys)).groupBy(*keys).agg(
+        F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
+        F.count(F.when(~inside, 1)).alias("beyond"),
+    )
+    return boxes.join(ends, list(keys))
+
+
+def bootstrap_band(log: DataFrame, keys: Sequence[str], value: str, ties: Sequence[str], replicates: int = 1000, seed: int = 123) -> DataFrame:
+    """Mean with the 95 % percentile band of its bootstrap distribution, the band that plotting libraries draw.
+
+    Meant for logs (rows bounded by an experiment): every replicate draws as many rows as the group has.
+    """
+    rows = log.filter(F.col(value).isNotNull())
+    place = F.concat_ws(":", *[F.col(c).cast("string") for c in (*keys, *ties)])
+    drawn = bootstrap_weights(rows, hash_key(place, seed), ties, keys, replicates, seed)
+    means = drawn.groupBy(*keys, "replicate").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("m"))
+    ends = means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("band_low"), F.percentile("m", F.lit(0.975)).alias("band_high"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).join(ends, list(keys))
+
+
 def mean_band(log: DataFrame, keys: Sequence[str], value: Column | str, z: float = 1.96) -> DataFrame:
     """Mean with a normal 95 % band per group."""
     v = F.col(value) if isinstance(value, str) else value

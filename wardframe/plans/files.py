@@ -26,7 +26,7 @@ from wardframe.plans.series import (
     series12,
 )
 from wardframe.plans.structured import IN_COHORT, STEMI, stemi
-from wardframe.session import scratch_path
+from wardframe.session import cut_lineage, scratch_path
 from wardframe.sources import readers, writers
 
 
@@ -119,3 +119,23 @@ def published_stays(spark, sf):
     """A cohort published under a name and read back by SQL."""
     writers.publish(co.icu_stays(spark_view(spark, sf, "icustays"), stemi(spark, sf)), "cohort_stays")
     return spark.sql("SELECT first_careunit, count(*) AS stays FROM cohort_stays GROUP BY first_careunit")
+
+
+@query("dropped_relations", with_views("icustays") + """
+    SELECT first_careunit, count(*) AS stays, 'careunit_counts,careunit_stays,all_stays' AS dropped FROM icustays GROUP BY first_careunit""")
+def dropped_relations(spark, sf):
+    """A chain of three published relations; the last is read, then dropping the first drops its dependants before it."""
+    writers.publish(spark_view(spark, sf, "icustays"), "all_stays")
+    writers.publish(spark.sql("SELECT first_careunit, hadm_id FROM all_stays"), "careunit_stays")
+    writers.publish(spark.sql("SELECT first_careunit, count(*) AS stays FROM careunit_stays GROUP BY first_careunit"), "careunit_counts")
+    counts = cut_lineage(spark.table("careunit_counts"))
+    return counts.withColumn("dropped", F.lit(",".join(writers.drop_relation(spark, "all_stays", cascade=True))))
+
+
+@query("saved_table", with_views("icustays") + "SELECT first_careunit, count(*) AS stays, round(avg(los), 6) AS los FROM icustays GROUP BY first_careunit")
+def saved_table(spark, sf):
+    """``CREATE TABLE AS``: stays written as a table and queried by its name."""
+    path = scratch_path(spark, "saved")
+    name = "saved_" + path.rsplit("-", 1)[1]
+    writers.save_table(spark_view(spark, sf, "icustays"), name, path)
+    return spark.sql(f"SELECT first_careunit, count(*) AS stays, round(avg(los), 6) AS los FROM {name} GROUP BY first_careunit")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardframe.operators import alignment as al
-from wardframe.operators import classify, metrics, models, reports, sampling
+from wardframe.operators import boosting, classify, metrics, models, reports, sampling
+from wardframe.operators import cohort as co
 from wardframe.operators import conditions as cd
 from wardframe.operators import grid as gr
 from wardframe.plans import series_sql as sq
@@ -22,7 +23,7 @@ from wardframe.plans.series import (
     experiment_log,
     score_grid,
 )
-from wardframe.session import cut_lineage
+from wardframe.session import cut_lineage, scratch_path
 
 GAMMA, N = 0.01, 6
 _ERR = "(y - yhat)"
@@ -123,6 +124,28 @@ def feature_box_stats(spark, sf):
     return r6(reports.box_statistics(rows, ["feature", "kind"], "value"), *_BOX)
 
 
+def _whisker_sql(keys: str, value: str, rows: str) -> str:
+    on = " AND ".join(f"r.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
+    named = ", ".join(f"b.{k.strip()}" for k in keys.split(","))
+    inside = f"r.{value} BETWEEN b.q1 - 1.5 * (b.q3 - b.q1) AND b.q3 + 1.5 * (b.q3 - b.q1)"
+    return f"""SELECT {named}, b.n, round(b.low, 6) AS low, round(b.q1, 6) AS q1, round(b.median, 6) AS median, round(b.q3, 6) AS q3, round(b.high, 6) AS high,
+        round(min(r.{value}) FILTER ({inside}), 6) AS whisker_low, round(max(r.{value}) FILTER ({inside}), 6) AS whisker_high,
+        count(*) FILTER (NOT ({inside})) AS beyond
+        FROM ({rows}) r JOIN (SELECT {keys}, CAST(count({value}) AS BIGINT) AS n, min({value}) AS low, quantile_cont({value}, 0.25) AS q1,
+          quantile_cont({value}, 0.5) AS median, quantile_cont({value}, 0.75) AS q3, max({value}) AS high FROM ({rows}) GROUP BY {keys}) b ON {on}
+        WHERE r.{value} IS NOT NULL GROUP BY {named}, b.n, b.low, b.q1, b.median, b.q3, b.high"""
+
+
+_WHISKERS = (*_BOX, "whisker_low", "whisker_high")
+
+
+@query("feature_box_whiskers", _pred(_whisker_sql("feature, kind", "value", """
+    SELECT feature, 'real' AS kind, y AS value FROM predictions UNION ALL SELECT feature, 'predicted', yhat FROM predictions""")))
+def feature_box_whiskers(spark, sf):
+    rows = cut_lineage(metrics.real_and_predicted(predictions(spark, sf)))
+    return r6(reports.box_whiskers(rows, ["feature", "kind"], "value"), *_WHISKERS)
+
+
 _LOSSES = f"SELECT pid, step, feature, 'mse' AS loss, {_ERR} ** 2 AS value FROM predictions UNION ALL SELECT pid, step, feature, 'mae', abs({_ERR}) FROM predictions"
 
 
@@ -137,6 +160,11 @@ def loss_box_stats(spark, sf):
     return r6(reports.box_statistics(_losses(spark, sf), ["loss"], "value"), *_BOX)
 
 
+@query("loss_box_whiskers", _pred(_whisker_sql("loss", "value", _LOSSES)))
+def loss_box_whiskers(spark, sf):
+    return r6(reports.box_whiskers(cut_lineage(_losses(spark, sf)), ["loss"], "value"), *_WHISKERS)
+
+
 @query("runs_side_by_side", _pred(f"""
     SELECT pid || ':' || step AS position, round(max(CASE WHEN loss = 'mse' THEN value END), 6) AS mse,
            round(max(CASE WHEN loss = 'mae' THEN value END), 6) AS mae FROM ({_LOSSES}) GROUP BY 1"""))
@@ -394,6 +422,35 @@ def mortality_protocols(spark, sf):
     return models.protocol_matrix(*_outcome_tables(spark, sf), _VECTOR)
 
 
+@query("mortality_newton")
+def mortality_newton(spark, sf):
+    """The protocol matrix by 100 rounds of Newton-boosted trees of depth 6."""
+    return models.newton_protocols(*_outcome_tables(spark, sf), _VECTOR)
+
+
+@query("protocol_by_cohort")
+def protocol_by_cohort(spark, sf):
+    """Accuracy by protocol and cohort, from models fitted and tested within each cohort."""
+    diagnoses = spark_view(spark, sf, "diagnoses_icd")
+    cohorts = co.stemi_cohort(diagnoses).select(F.col("subject_id").alias("pid"), F.lit("stemi").alias("cohort")).unionByName(
+        co.nstemi_cohort(diagnoses).select(F.col("subject_id").alias("pid"), F.lit("nstemi").alias("cohort"))
+    ).distinct()
+    tables = [x.join(cohorts, "pid") for x in _outcome_tables(spark, sf)]
+    scores = models.newton_protocols(*tables, _VECTOR, ["cohort"])
+    return r6(reports.protocol_table(scores, ["stemi", "nstemi"]), "stemi", "nstemi")
+
+
+@query("saved_booster_scores")
+def saved_booster_scores(spark, sf):
+    """A booster that is fitted, saved, loaded and then scores the held-out patients."""
+    split = cut_lineage(sampling.stratified_split(_outcome_tables(spark, sf)[0], "pid", "label"))
+    train = split.filter(F.col("subset") == "train").withColumn("model", F.lit("real"))
+    path = scratch_path(spark, "booster")
+    boosting.save_booster(spark, boosting.fit_boosters(train, _VECTOR, rounds=20, rate=0.3)["real"], path)
+    held_out = split.filter(F.col("subset") == "test").select("pid", "label", *_VECTOR)
+    return boosting.score(boosting.load_booster(spark, path), held_out).select("pid", "label", "score")
+
+
 @query("perm_importance")
 def perm_importance(spark, sf):
     """Fitted on the training part of the patients, measured on the held-out part."""
@@ -418,6 +475,13 @@ def method_rate_band(spark, sf):
     return r6(reports.rmse_by_rate(score_grid(spark, sf)), "mean", "band_low", "band_high")
 
 
+@query("method_rate_bootstrap_band")
+def method_rate_bootstrap_band(spark, sf):
+    """The band a line plot draws: percentiles of 1000 bootstrap means over the repetitions."""
+    scores = score_grid(spark, sf).withColumn("rep", F.col("rep").cast("int"))
+    return r6(reports.bootstrap_band(cut_lineage(scores), ["method", "pct"], "rmse", ["rep"]), "mean", "band_low", "band_high")
+
+
 @query("method_time_band", f"""
     SELECT {_band('metodo, porcentaje', '(tiempo / 60)')}
     FROM (SELECT event_type AS metodo, CAST(event_id % 5 * 10 + 10 AS INT) AS porcentaje, value AS tiempo FROM events) GROUP BY metodo, porcentaje""")

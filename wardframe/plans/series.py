@@ -512,6 +512,14 @@ def impute_mice(spark, sf):
     return _chained(spark, sf, regression_impute.fill_mice)
 
 
+@query("impute_iterative_evidence")
+def impute_iterative_evidence(spark, sf):
+    """Iterative imputation whose ridge is chosen by the data."""
+    wide = gr.to_wide(_unit_amputated(spark, sf), FEATURES)
+    filled = regression_impute.fill_iterative_groups(wide, FEATURES, ridge="evidence")
+    return _imputed(gr.to_long(filled.select("pid", "step", *FEATURES), FEATURES, "imputed"))
+
+
 def all_methods():
     """All eight imputers on long rows of one (rep, pct), by method name."""
     def chained(fill):

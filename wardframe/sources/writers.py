@@ -71,5 +71,42 @@ def publish(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
-def save_table(df: DataFrame, name: str) -> None:
-    df.write.mode("overwrite").saveAsTable(name)
+def _walk(plan) -> list:
+    """Nodes of an analysed plan, subquery plans included."""
+    todo, found = [plan], []
+    while todo:
+        node = todo.pop()
+        found.append(node)
+        for children in (node.children(), node.subqueries()):
+            todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def references(df: DataFrame) -> set[str]:
+    """Names of the published relations that the plan of ``df`` reads, directly or through others."""
+    nodes = _walk(df._jdf.queryExecution().analyzed())
+    return {n.desc().identifier().table().lower() for n in nodes if n.nodeName() == "View"}
+
+
+def dependants(spark: SparkSession, name: str) -> list[str]:
+    """Published relations that read ``name``, those that read most of the others first."""
+    views = [t.name.lower() for t in spark.catalog.listTables() if t.isTemporary]
+    reads = {v: references(spark.table(v)) - {v} for v in views}
+    return sorted((v for v in views if name.lower() in reads[v]), key=lambda v: (-len(reads[v]), v))
+
+
+def drop_relation(spark: SparkSession, name: str, cascade: bool = False) -> list[str]:
+    """``DROP ... [CASCADE]``: refuses to drop a relation that others read, or drops those first.
+
+    Returns the dropped names in order; an unknown name drops nothing.
+    """
+    others = dependants(spark, name)
+    if others and not cascade:
+        raise ValueError(f"{name} is read by {', '.join(others)}; drop them first or cascade")
+    return [v for v in [*others, name.lower()] if spark.catalog.dropTempView(v)]
+
+
+def save_table(df: DataFrame, name: str, path: str | None = None) -> None:
+    """``CREATE TABLE ... AS SELECT``; with ``path`` the table lies there."""
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
