@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import compare, connect
-from wardframe.llm import dialogue, queries, recursive_bpe, spelling
+from wardframe.llm import dialogue, html_text, queries, recursive_bpe, spelling
 from wardframe.llm.texts import table
 
 SF = "/root/testdata/sf0.001"
@@ -253,3 +253,24 @@ def test_neighbours_meet_once_and_chains_end(spark):
 @pytest.mark.parametrize("name", ["op12_dialogue_repair", "op13_spelling"])
 def test_round3_queries_equal_sql(spark, name):
     assert compare(spark, connect(SF), queries.QUERIES[name], queries.ORACLES[name], SF) == ""
+
+
+PROSE = "The council has said that the old bridge over the river will be closed for most of the year, and that this is not the last of it. " * 2
+
+
+@pytest.mark.parametrize("wrapped", [
+    '<div class="content-with-sidebar">%s</div>', '<div id="page" class="has-sidebar">%s</div>', '<div class="site no-header">%s</div>',
+    '<div class="post single-notice">%s</div>', '<main class="with-menu">%s</main>', '<div class="search-results">%s</div>',
+    '<div class="legal-text">%s</div>', '<article class="post comments-open">%s</article>', '<div class="related-work">%s</div>',
+    '<form id="aspnetForm">%s</form>', '<form><div class="related-work"><div class="legal-text">%s</div></div></form>',
+])
+def test_no_text_is_lost_by_a_layout_name(wrapped):
+    body = f"<p>{PROSE}</p>" * 4
+    want = "\n\n".join([PROSE.strip()] * 4)
+    around = '<header>Home</header><nav><a href=x>menu</a></nav>%s<footer>All rights are ours and this is the end of it</footer>'
+    assert html_text.main_text(around % (wrapped % body)) == want
+    # Boxes inside the wrapper are still judged, and so are comments, however long.
+    noise = f'<div class="sidebar"><p>{PROSE}</p></div><form class="newsletter"><p>{PROSE}</p></form>'
+    talk = f'<section class="comments-area" id="comments">{"<p>I do not think that this is the way to do it, and it was the same with the last one.</p>" * 40}</section>'
+    assert html_text.main_text(around % (wrapped % (noise + body + talk))) == want
+    assert html_text.main_text(around % (noise + wrapped % body + talk)) == want

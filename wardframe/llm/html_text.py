@@ -1,8 +1,10 @@
 """Main text of web pages by two passes over blocks.
 
-The page is cut into blocks at block-level tags. Blocks inside menus, headers, footers, sidebars,
-forms, adverts, notices and reader comments (by element or by a word of class, id or role) and
-everything inside scripts, styles and the like are taken out first. First pass: each remaining
+The page is cut into blocks at block-level tags. Blocks inside menus, headers, footers, sidebars and
+dialogs (by element or role) and everything inside scripts, styles and the like are taken out first. A box
+that only its class or id, or being a form, speaks against is taken out if it adds little: from the outside
+in, a box whose good text is more than three times that of the page outside such boxes is a wrapper of
+the page, and only the boxes inside it are judged further. Boxes of reader comments are never wrappers. First pass: each remaining
 block is good, bad, near-good or short from its length, its share of stop words and its share of
 link text. Second pass: ambiguous blocks (near-good, short) take the label of the nearest decided
 neighbours on both sides if these agree; if they differ, near-good is good and a short block follows
@@ -48,7 +50,7 @@ al como con de del el ella en es esta este la las lo los más me no o para pero
 
 SKIP = frozenset("script style noscript template svg math iframe object embed canvas select option textarea button audio video head title".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
-OUTSIDE = frozenset("nav header footer aside form dialog menu".split())
+OUTSIDE = frozenset("nav header footer aside dialog menu".split())
 BLOCKS = frozenset("""
 address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul
@@ -72,6 +74,9 @@ BOILER = re.compile(
     r"comment\w*|disqus|respond|replies|related|recommend\w*|pagination|pager|copyright|legal|disclaimer|skip|toolbar|search|login)(?:$|[\s_-])",
     re.I,
 )
+#: Names that tell how a page is laid out or which state it is in, not what a box holds.
+LAYOUT = re.compile(r"(?:^|[_-])(?:with|without|has|no|not|show|hide)[_-]|[_-](?:open|opened|closed|enabled|disabled|on|off)$", re.I)
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment\w*|disqus|respond|replies)(?:$|[\s_-])", re.I)
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _TOKEN = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTRIBUTE = re.compile(r"""\s*/?\s*([^\s=>/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
@@ -83,14 +88,18 @@ STOP_LOW = 0.08
 STOP_HIGH = 0.2
 LINKED = 0.4
 LINKED_PROSE = 0.2
+#: A box holds the page if its good text is so many times that outside.
+WRAPS = 3
 
 
 @dataclass
 class Block:
-    """Text pieces of one block, how much of it is link text, and where it stands."""
+    """Text pieces of one block, how much of it is link text, and where it stands: ``boxes`` are
+    the suspect boxes around it, outermost first, each with its number and whether it holds comments."""
 
     article: int = 0
-    outside: int = 0
+    outside: bool = False
+    boxes: tuple[tuple[int, bool], ...] = ()
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -117,38 +126,43 @@ def _attributes(page: str, at: int) -> tuple[dict[str, str], int, bool]:
     return found, n, False
 
 
-def _marks(tag: str, attributes: dict[str, str], outside: int, article: int) -> tuple[int, int]:
-    """Levels inside the element, given those around it.
+Place = tuple[bool, int, tuple[tuple[int, bool], ...]]
 
-    Outside the text: 1 by its name, 2 by its kind. Article: 1 ``main``, 2 ``article``. An article
+
+def _marks(tag: str, attributes: dict[str, str], around: Place, number: int) -> Place:
+    """Where the text inside the element stands, given the place of the element itself.
+
+    Outside by its kind, level of the article (1 ``main``, 2 ``article``), suspect boxes. An article
     inside a box that only a name speaks against counts as text.
     """
-    if not attributes and tag not in OUTSIDE and tag not in ("article", "main"):
-        return outside, article
+    outside, article, boxes = around
+    if not attributes and tag not in OUTSIDE and tag not in ("article", "main", "form"):
+        return around
     if tag in ("body", "html"):
-        return outside, article
+        return around
     role = attributes.get("role", "").lower()
     if tag == "article" or role == "article" or attributes.get("itemprop", "") == "articleBody":
         article = 2
     elif tag == "main" or role == "main":
         article = max(article, 1)
-    if article == 2 and outside == 1 and tag == "article":
-        outside = 0
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
+    if tag == "article":
+        boxes = ()
     if (
         tag in OUTSIDE or role in BOILER_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
         or "display:none" in attributes.get("style", "").replace(" ", "").lower()
     ):
-        return 2, article
-    if named and BOILER.search(named):
-        outside = max(outside, 1)
-    return outside, article
+        return True, article, boxes
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    named = " ".join(n for n in names if not LAYOUT.search(n))
+    if tag == "form" or (named and BOILER.search(named)):
+        boxes = (*boxes, (number, bool(COMMENTS.search(named))))
+    return outside, article, boxes
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order; text inside skipped elements is gone already."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, levels of outside and article
+    stack: list[tuple[str, Place]] = []  # tag, place of the text inside
     places: defaultdict[str, list[int]] = defaultdict(list)  # where each tag stands in the stack
     open_blocks: list[int] = []  # where block elements stand
     skipping = links = 0
@@ -159,8 +173,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal now
         if now.pieces:
             out.append(now)
-        _, outside, article = stack[-1] if stack else ("", 0, 0)
-        now = Block(article, outside)
+        outside, article, boxes = stack[-1][1] if stack else (False, 0, ())
+        now = Block(article, outside, boxes)
 
     def add(text: str) -> None:
         if text and not skipping:
@@ -173,7 +187,7 @@ def blocks(page: str) -> list[Block]:
 
     def close(index: int) -> None:
         nonlocal skipping, links
-        gone = [t for t, _, _ in stack[index:]]
+        gone = [t for t, _ in stack[index:]]
         del stack[index:]
         for t in gone:
             places[t].pop()
@@ -230,11 +244,11 @@ def blocks(page: str) -> list[Block]:
                     close(index)
             elif tag in BLOCKS and open_blocks and stack[open_blocks[-1]][0] == "p":
                 close(open_blocks[-1])
-            _, outside, article = stack[-1] if stack else ("", 0, 0)
+            around = stack[-1][1] if stack else (False, 0, ())
             places[tag].append(len(stack))
             if tag in BLOCKS:
                 open_blocks.append(len(stack))
-            stack.append((tag, *_marks(tag, attributes, outside, article)))
+            stack.append((tag, _marks(tag, attributes, around, at)))
             skipping += tag in SKIP
             links += tag == "a"
             if tag in BLOCKS:
@@ -334,9 +348,30 @@ def _region(found: list[Block], labels: list[str]) -> list[bool] | None:
     return None
 
 
+def _unwrapped(found: list[Block]) -> list[Block]:
+    """The blocks outside suspect boxes, once boxes that hold the page count as its wrappers."""
+    if not any(b.boxes for b in found):
+        return found
+    weights = [len(b.text) if first_pass(b) == "good" else 0 for b in found]
+    if not any(weights):
+        weights = [len(b.text) if len(b.text) >= SHORT and _link_share(b) <= LINKED else 0 for b in found]
+    places = [b.boxes for b in found]
+    while True:
+        free = sum(w for w, p in zip(weights, places, strict=True) if not p)
+        held: dict[tuple[int, bool], int] = {}
+        for w, p in zip(weights, places, strict=True):
+            if p:
+                held[p[0]] = held.get(p[0], 0) + w
+        wrappers = {box for box, w in held.items() if w > WRAPS * free and not box[1]}
+        if not wrappers:
+            return [b for b, p in zip(found, places, strict=True) if not p]
+        most = max(wrappers, key=lambda box: (held[box], -box[0]))
+        places = [p[1:] if p and p[0] == most else p for p in places]
+
+
 def main_text(page: str | None) -> str:
     """The kept blocks, joined by an empty line."""
-    found = [b for b in blocks(page or "") if not b.outside]
+    found = _unwrapped([b for b in blocks(page or "") if not b.outside])
     labels = [first_pass(b) for b in found]
     inside = _region(found, labels)
     if inside:
