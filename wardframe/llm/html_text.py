@@ -3,7 +3,7 @@
 The page is cut into blocks at block-level tags. Blocks inside menus, headers, footers, sidebars and
 dialogs (by element or role) and everything inside scripts, styles and the like are taken out first. A box
 that only its class or id, or being a form, speaks against is taken out if it adds little: from the outside
-in, a box whose good text is more than three times that of the page outside such boxes is a wrapper of
+in, a box whose good text is more than three times the unlinked text outside such boxes is a wrapper of
 the page, and only the boxes inside it are judged further. Boxes of reader comments are never wrappers. First pass: each remaining
 block is good, bad, near-good or short from its length, its share of stop words and its share of
 link text. Second pass: ambiguous blocks (near-good, short) take the label of the nearest decided
@@ -88,7 +88,7 @@ STOP_LOW = 0.08
 STOP_HIGH = 0.2
 LINKED = 0.4
 LINKED_PROSE = 0.2
-#: A box holds the page if its good text is so many times that outside.
+#: A box holds the page if its good text is more than so many times the unlinked text outside.
 WRAPS = 3
 
 
@@ -352,12 +352,13 @@ def _unwrapped(found: list[Block]) -> list[Block]:
     """The blocks outside suspect boxes, once boxes that hold the page count as its wrappers."""
     if not any(b.boxes for b in found):
         return found
-    weights = [len(b.text) if first_pass(b) == "good" else 0 for b in found]
+    plain = [len(b.text) if _link_share(b) <= LINKED else 0 for b in found]
+    weights = [n if first_pass(b) == "good" else 0 for b, n in zip(found, plain, strict=True)]
     if not any(weights):
-        weights = [len(b.text) if len(b.text) >= SHORT and _link_share(b) <= LINKED else 0 for b in found]
+        weights = plain
     places = [b.boxes for b in found]
     while True:
-        free = sum(w for w, p in zip(weights, places, strict=True) if not p)
+        free = sum(n for n, p in zip(plain, places, strict=True) if not p)
         held: dict[tuple[int, bool], int] = {}
         for w, p in zip(weights, places, strict=True):
             if p:
