@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import compare, connect
-from wardframe.llm import dialogue, html_text, queries, recursive_bpe, spelling
+from wardframe.llm import dialogue, html_text, queries, recursive_bpe, spelling, warc
 from wardframe.llm.texts import table
 
 SF = "/root/testdata/sf0.001"
@@ -274,3 +274,13 @@ def test_no_text_is_lost_by_a_layout_name(wrapped):
     talk = f'<section class="comments-area" id="comments">{"<p>I do not think that this is the way to do it, and it was the same with the last one.</p>" * 40}</section>'
     assert html_text.main_text(around % (wrapped % (noise + body + talk))) == want
     assert html_text.main_text(around % (noise + wrapped % body + talk)) == want
+
+
+def test_archive_with_urls_of_a_megabyte(spark):
+    urls = ["u" * 1_000_000, "é " * 300_000, "\r\n\r\n" * 1000, None, ""]
+    rows = [(i, u, f"<p>{i % 2}</p>" * 50) for i, u in enumerate(urls)] + [(9, "x", None)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
+    assert [r.page_id for r in got] == [0, 1, 2, 3, 4, 9]
+    assert [r.refers_to for r in got] == [None, None, 0, 1, 0, None]
+    for r, (_, _, page) in zip(got, rows):
+        assert (r.payload_bytes, r.payload_digest) == (len(page or ""), hashlib.sha256((page or "").encode()).hexdigest())

@@ -34,7 +34,6 @@ REVISIT_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _END = b"\r\n\r\n"
-_MAX_HEADER = 65_536
 
 
 @dataclass
@@ -93,9 +92,9 @@ class Reader:
 
     def _until(self, mark: bytes) -> bytes | None:
         """Bytes up to ``mark`` (consumed too); None at the clean end of the archive."""
-        while (at := self.rest.find(mark)) < 0:
-            if len(self.rest) > _MAX_HEADER:
-                raise ValueError("record header too long")
+        searched = 0  # a header may be as long as its url
+        while (at := self.rest.find(mark, max(0, searched - len(mark)))) < 0:
+            searched = len(self.rest)
             more = self.stream.read(self.chunk)
             if not more:
                 if self.rest.strip():
