@@ -67,3 +67,21 @@ def test_protocols_within_cohorts(spark):
     assert all(r.accuracy >= 0.9 for r in got if r.protocol == "TRTR")
     both = models.newton_protocols(table(0.0).drop("cohort"), table(0.0).drop("cohort"), ["a", "b"], rounds=2, depth=1)
     assert both.count() == 4 and both.where(F.col("accuracy") > 1).count() == 0
+
+
+def test_fast_gauss_transform_equals_pairs(spark):
+    from wardframe.operators import metrics
+
+    rng = np.random.default_rng(4)
+    rows = [(g, float(y), float(p)) for g, scale in (("small", 1), ("large", 400), ("far", 1e7)) for y, p in scale * rng.normal(1, 1, (60, 2))]
+    df = spark.createDataFrame([*rows, ("small", None, 1.0)], "g string, y double, yhat double")
+
+    def k(a, b):
+        return sum(np.exp(-0.5 * (a[:, None] - b[None, :]) ** 2 / w) for w in metrics.MMD_BANDWIDTHS)
+
+    for r in metrics.gauss_mmd(df, ["g"]).collect():
+        y, p = (np.array([row[i] for row in rows if row[0] == r.g]) for i in (1, 2))
+        assert abs(r.mmd - np.mean(k(y, y) + k(p, p) - k(y, p) - k(p, y))) < 1e-10
+    small = df.where("g = 'small'")
+    assert abs(metrics.gauss_mmd(small).first().mmd - metrics.scalar_mmd(small).first().mmd) < 1e-9
+    assert metrics.gauss_mmd(df.limit(0), ["g"]).count() == 0

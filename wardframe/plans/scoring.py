@@ -17,11 +17,12 @@ from wardframe.plans.series import (
     FEATURES,
     SCORES,
     examples,
+    experiment_log,
     filled_scaled,
     predictions,
     r6,
-    experiment_log,
     score_grid,
+    stored_cells,
 )
 from wardframe.session import cut_lineage, scratch_path
 
@@ -186,6 +187,19 @@ def mmd_scalar(spark, sf):
     return r6(metrics.scalar_mmd(predictions(spark, sf), ["feature"]), "mmd")
 
 
+@query("mmd_unscaled", sq.series_ctes("cells", pairs="""
+    SELECT t.feature, 10 * t.value AS y, 10 * h.value AS p FROM cells t JOIN cells h ON h.pid = t.pid AND h.feature = t.feature AND h.step = t.step - 6
+    WHERE t.value IS NOT NULL AND h.value IS NOT NULL""") + """
+    SELECT a.feature, round(avg({yy} + {pp}) - 2 * avg({yp}), 6) AS mmd FROM pairs a JOIN pairs b ON a.feature = b.feature GROUP BY a.feature""".format(
+    yy=_KERNEL.format(d="(a.y - b.y) ** 2"), pp=_KERNEL.format(d="(a.p - b.p) ** 2"), yp=_KERNEL.format(d="(a.y - b.p) ** 2")))
+def mmd_unscaled(spark, sf):
+    """Values as they were charted (times ten), against those six steps before."""
+    cells = stored_cells(spark, sf).where("value IS NOT NULL")
+    before = cells.select("pid", "feature", (F.col("step") + 6).alias("step"), (10 * F.col("value")).alias("yhat"))
+    pairs = cells.withColumn("y", 10 * F.col("value")).join(before, ["pid", "feature", "step"])
+    return r6(metrics.gauss_mmd(pairs, ["feature"]), "mmd")
+
+
 @query("mmd_batches", sq.series_ctes("scaled", batches=_BATCHES, long="""
     SELECT batch, t.pid, t.step, t.feature, coalesce(t.v, 0) AS y, coalesce(h.v, 0) AS p FROM scaled t
     JOIN scaled h ON h.pid = t.pid AND h.feature = t.feature AND h.step = t.step - 6 JOIN batches b ON b.pid = t.pid WHERE t.step > 6""",
