@@ -183,6 +183,36 @@ def test_near_copies_within_a_template_crowd(spark):
     assert split == 0 and all(got[j] == j for _, j in brute)
 
 
+def test_near_copies_go_through_the_simhash_search(spark, monkeypatch):
+    """Without the buckets, near texts within two bits are still grouped; the search's groups equal brute force."""
+    rng = np.random.default_rng(21)
+    docs = []
+    for _ in range(30):
+        words = [f"w{rng.integers(1e9)}" for _ in range(1200)]
+        docs += [(len(docs) + i, varied(words, (0, 1, 2)[i], rng)) for i in range(3)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    sketches = [near_copies.sketch(t) for _, t in docs]
+    prints = [s[2][0] % 2**64 for s in sketches]
+    linked = [(i, j) for i in range(len(docs)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    assert 30 < len(linked) < 90 and all(i // 3 == j // 3 for i, j in linked)
+    folded = near_copies._fold(near_copies._read(frame, "doc_id", "text"))
+    pairs = {(r.node, r.leader) for r in near_copies._print_pairs(folded).collect()}
+    at = {s[0]: i for i, s in enumerate(sketches)}
+
+    def groups(links):
+        first = list(range(len(docs)))
+        for _ in docs:
+            for i, j in links:
+                first[i] = first[j] = min(first[i], first[j])
+        return first
+
+    assert {(max(at[a], at[b]), min(at[a], at[b])) for a, b in pairs} <= set(linked)
+    assert groups([(at[a], at[b]) for a, b in pairs]) == groups(linked)
+    buckets = near_copies._sample_buckets
+    monkeypatch.setattr(near_copies, "_sample_buckets", lambda nodes: buckets(nodes).limit(0))
+    assert {r.doc_id for r in corpus_pipeline.dedup_stage(spark, frame, SF).collect()} == set(groups(linked))
+
+
 def test_near_copies_of_four_fifths_are_grouped(spark):
     rng = np.random.default_rng(4)
     docs, family = [], {}
