@@ -42,32 +42,39 @@ CACHE_WORDS = 500_000
 DECODE_IDS = 500_000
 _PAIR = 1 << 32
 
+#: ``pos`` grows over all words, so neighbours need no window for each word; only words with several least pairs are numbered.
 ENCODE = f"""
 WITH RECURSIVE step(word, pos, token, live, round) AS (
   SELECT word, pos, token, true, 0 FROM start
   UNION ALL
   (
     WITH paired AS (
-      SELECT word, pos, token, round, lead(token) OVER o AS right_token, row_number() OVER o AS place
-      FROM step WHERE live AND round < $rounds WINDOW o AS (PARTITION BY word ORDER BY pos)
+      SELECT word, pos, token, round, lead(pos) OVER o AS next,
+             CASE WHEN lead(word) OVER o = word THEN token::BIGINT * {_PAIR} + lead(token) OVER o END AS pair
+      FROM step WHERE live AND round < $rounds WINDOW o AS (ORDER BY pos)
     ),
-    ranked AS (
-      SELECT word, pos, token, round, place, rank, alone
-      FROM paired LEFT JOIN merges ON merges.pair = token::BIGINT * {_PAIR} + right_token
+    ranked AS MATERIALIZED (
+      SELECT word, pos, token, round, next, rank, alone FROM paired LEFT JOIN merges ON merges.pair = paired.pair
     ),
-    least AS (SELECT word, min(rank) AS rank, count(*) AS n FROM ranked GROUP BY word),
-    hits AS (
-      SELECT word, place, rank, alone, place - row_number() OVER (PARTITION BY word ORDER BY place) AS run
-      FROM ranked JOIN least USING (word, rank)
+    least AS MATERIALIZED (SELECT word, min(rank) AS rank, count(*) > 2 AS open FROM ranked GROUP BY word),
+    hits AS MATERIALIZED (
+      SELECT r.word, r.pos, r.next, r.rank, alone FROM ranked r JOIN least l ON l.word = r.word AND l.rank = r.rank
     ),
-    taken AS (
-      SELECT word, place, rank FROM (
-        SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY place) AS nth, min(place) OVER (PARTITION BY word) AS leftmost FROM hits
-      ) WHERE place = leftmost OR (NOT alone AND nth % 2 = 1)
+    several AS (
+      SELECT *, CASE WHEN lag(next) OVER (ORDER BY pos) = pos THEN 0 ELSE 1 END AS fresh FROM hits
+      WHERE word IN (SELECT word FROM hits GROUP BY word HAVING count(*) > 1)
+    ),
+    runs AS (SELECT *, sum(fresh) OVER (ORDER BY pos) AS run FROM several),
+    taken AS MATERIALIZED (
+      SELECT any_value(pos) AS pos, any_value(next) AS next, any_value(rank) AS rank FROM hits GROUP BY word HAVING count(*) = 1
+      UNION ALL
+      SELECT pos, next, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY run ORDER BY pos) AS nth, min(pos) OVER (PARTITION BY word) AS leftmost FROM runs
+      ) WHERE pos = leftmost OR (NOT alone AND nth % 2 = 1)
     )
-    SELECT r.word, r.pos, coalesce(t.rank, r.token), l.rank IS NOT NULL AND l.n > 2, r.round + 1
-    FROM ranked r JOIN least l ON l.word = r.word LEFT JOIN taken t ON t.word = r.word AND t.place = r.place
-    WHERE NOT EXISTS (SELECT 1 FROM taken g WHERE g.word = r.word AND g.place = r.place - 1)
+    SELECT r.word, r.pos, coalesce(t.rank, r.token), l.rank IS NOT NULL AND l.open, r.round + 1
+    FROM ranked r JOIN least l ON l.word = r.word LEFT JOIN taken t ON t.pos = r.pos
+    WHERE NOT EXISTS (SELECT 1 FROM taken g WHERE g.next = r.pos)
   )
 )
 SELECT word, pos, token, live FROM step WHERE NOT live OR round = $rounds ORDER BY word, pos
